@@ -2,18 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.llm.common import read_table
+from waymark.llm.exact_dedup import dedup
+from waymark.llm.mixing import MIX_SQL, mix
 from waymark.llm.sharding import shard_documents
+from waymark.llm.tokens import count_tokens, default_model, encode_documents
+from waymark.llm.topk import TOPK_SQL, top_k
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"), default_model())
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), default_model())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).drop("source", "epochs")
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op8_mixing": MIX_SQL,
+    "op9_topk": TOPK_SQL,
+}
