@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from waymark.llm.mixing import count_words, mix
+from waymark.llm.mixing import count_words, mix, mix_documents
 
 
 def water(sizes):
@@ -56,3 +56,17 @@ def test_mix(spark, seed):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
+
+
+def test_documents_are_repeated(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(["w"] * rng.randrange(30)), "clash") for i in range(200)] + [(None, "a", "x y z", "c"), (None, None, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, epochs string")
+    want = {(r.doc_id, r.source): r.epochs for r in mix(df).collect()}
+    out = mix_documents(df)
+    assert out.columns == df.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r.doc_id, r.source] += 1
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    assert mix_documents(df.where("false")).collect() == []

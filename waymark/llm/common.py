@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from waymark.runtime import delete_path, materialize, scratch_path, shared_dir, ship
 
-__all__ = [
-    "arrow_text", "delete_path", "map_arrow", "materialize", "read_table", "salted_row_number", "scratch_path",
-    "shared_dir", "ship", "total_rows",
-]
+__all__ = ["delete_path", "map_arrow", "materialize", "read_table", "release", "salted_row_number", "scratch_path", "shared_dir", "ship"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_text(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each value; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [x or b"" for x in column.cast(kind).to_pylist()]
-
-
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     """mapInArrow after the package has been sent to the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def total_rows(df: DataFrame) -> int:
-    return df.count()
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that finished stages are unreachable, so that their shuffle files go now and not later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def salted_row_number(df: DataFrame, key: str, salt: Column, order: list[Column], out: str, parts: int) -> DataFrame:

@@ -88,7 +88,7 @@ def exponential_key(seed: str) -> F.Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix|", **columns: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes) of every row, with its source and epochs (times taken)."""
+    """doc_id, size, source_size, target and taken (words the mix takes) of every row, with its source, epochs (times taken) and n_bytes."""
     rows = materialize(sized(docs, **columns).withColumn("_w_quality", quality_weight()), "mix-sizes")
     plan = materialize(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), weights, max_epochs), "mix-plan"
@@ -114,10 +114,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     chosen = (total * 2 - F.col("size")).cast("double") <= F.col("_w_rest") * 2
     epochs = F.col("_w_full") + F.when(chosen & (F.col("size") > 0), 1).otherwise(0)
     return summed.withColumn("epochs", epochs.cast("long")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), "source", "epochs"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), "source", "epochs", "n_bytes"
     )
 
 
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as many times as the mix takes it.
+
+    Rows that repeat an id, source and size are told apart no further: each is taken as often as the one taken most.
+    """
+    times = mix(docs, doc_id=doc_id, source=source, text=text, **options).where("epochs > 0").groupBy(
+        F.col("doc_id").alias("_w_id"), F.col("source").alias("_w_source"), F.col("n_bytes").alias("_w_bytes")
+    )
+    times = materialize(times.agg(F.max("epochs").alias("_w_times")), "mix-times")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_w_id")) & F.col(source).eqNullSafe(F.col("_w_source")) & (F.col("_w_size") == F.col("_w_bytes"))
+    taken = docs.withColumn("_w_size", size).join(times, same).withColumn("_w_n", F.explode(F.sequence(F.lit(1), F.col("_w_times").cast("int"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
                   CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),

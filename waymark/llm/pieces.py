@@ -10,19 +10,81 @@ piece, so joins never cross those places.  A text therefore falls into segments
 repeat: the agenda runs once for each distinct segment of a worker's bounded cache, and each new segment is
 checked against the library, one call an Arrow batch.  Whole texts are always encoded.
 
+The agendas of a batch's new segments run in step: segments of one length are rows of a matrix, each round takes
+every row's best pair, joins it and ranks the two pairs that it changed.  Long segments have an agenda each.
+
 Defined cases: null counts as empty; an empty text has no pieces (begin and end ids remain where asked for).
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 
+import numpy as np
+
 SPACE = "▁"
 #: Distinct segments that a worker keeps; beyond that it starts anew.
-CACHE = 400_000
+CACHE = 700_000
 #: Longer segments are encoded each time and not kept.
 KEEP_CHARS = 64
+#: Symbol number of a character outside the vocabulary, less its code point.
+OUTSIDE = 1 << 20
+NONE = np.iinfo(np.int32).max
+
+
+class PairTable:
+    """Hash table from pairs of symbols to the rank and number of their join, read in whole arrays."""
+
+    BITS = 20
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        size = 1 << self.BITS
+        keys = np.array([(l << 32) | r for l, r in pairs], dtype=np.uint64)
+        vals = np.array(list(pairs.values()), dtype=np.int32).reshape(-1, 2)
+        self.key = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.rank, self.join = np.full(size, NONE, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):
+            slot = self._slot(keys[left], self.probes)
+            free = self.key[slot] == np.iinfo(np.uint64).max
+            _, first = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.key[slot[put]] = keys[left[put]]
+            self.rank[slot[put]], self.join[slot[put]] = vals[left[put], 0], vals[left[put], 1]
+            left = np.delete(left, put)
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
+        return ((((key * self.FACTOR) >> np.uint64(64 - self.BITS)) + np.uint64(probe)) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE for no join) and join of each pair."""
+        key = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        rank, join = np.full(key.shape, NONE, dtype=np.int32), np.zeros(key.shape, dtype=np.int32)
+        todo = np.arange(key.size)
+        for probe in range(self.probes):
+            slot = self._slot(key.ravel()[todo], probe)
+            there = self.key[slot]
+            hit = there == key.ravel()[todo]
+            rank.ravel()[todo[hit]], join.ravel()[todo[hit]] = self.rank[slot[hit]], self.join[slot[hit]]
+            todo = todo[~hit & (there != np.iinfo(np.uint64).max)]
+            if not len(todo):
+                break
+        return rank, join
+
+
+class _Cache(dict):
+    """Segments that were not learnt (the long ones) are encoded when they are asked for."""
+
+    def __init__(self, encode, *start):
+        super().__init__(*start)
+        self.encode = encode
+
+    def __missing__(self, segment: str):
+        return self.encode(segment)
 
 
 class Pieces:
@@ -55,7 +117,69 @@ class Pieces:
         self.alone = "".join(c for c in "\n\t" if c not in joined)
         alone = re.escape(self.alone)
         self.segment = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self.bytes_of)
+        self.table = self._table()
+        self.char = np.arange(OUTSIDE, OUTSIDE + 0x110000, dtype=np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+
+    def _table(self) -> PairTable:
+        """Offline: every way to cut a piece into two symbols."""
+        ranks = {c: i for i, c in enumerate(sorted(set(self.cost.values())))}
+        symbol = lambda x: self.id.get(x, OUTSIDE + ord(x) if len(x) == 1 else None)
+        pairs = {}
+        for p, i in self.id.items():
+            for k in range(1, len(p)):
+                l, r = symbol(p[:k]), symbol(p[k:])
+                if l is not None and r is not None:
+                    pairs[l, r] = (ranks[self.cost[p]], i)
+        return PairTable(pairs)
+
+    def bytes_of(self, segment: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.ids_of(segment))
+
+    def bytes_of_many(self, segments: list[str]) -> list[bytes]:
+        """bytes_of() each, with agendas that run in step."""
+        out: list[bytes] = [b""] * len(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        chars = self.char[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            self._in_step(chars[starts[own][:, None] + np.arange(size)], own, segments, out)
+        return out
+
+    def _in_step(self, sym: np.ndarray, own: np.ndarray, segments: list[str], out: list[bytes]) -> None:
+        n = sym.shape[1]
+        rank = self.table.find(sym[:, :-1], sym[:, 1:])[0] if n > 1 else np.zeros((len(sym), 0), np.int32)
+        while True:
+            if n > 1:
+                best = rank.argmin(axis=1)
+                more = rank[np.arange(len(sym)), best] != NONE
+            else:
+                more = np.zeros(len(sym), dtype=bool)
+            done = ~more
+            if done.any():
+                ids, at = np.ascontiguousarray(sym[done], dtype="<u4"), own[done]
+                raw, outside = ids.tobytes(), (ids >= OUTSIDE).any(axis=1)
+                for k, (i, odd) in enumerate(zip(at.tolist(), outside.tolist(), strict=True)):
+                    out[i] = self.bytes_of(segments[i]) if odd else raw[4 * n * k : 4 * n * (k + 1)]
+            if not more.any():
+                return
+            sym, rank, best, own = sym[more], rank[more], best[more], own[more]
+            row = np.arange(len(sym))
+            join = self.table.find(sym[row, best], sym[row, best + 1])[1]
+            n -= 1
+            col = np.arange(n)
+            sym = np.take_along_axis(sym, col + (col > best[:, None]), axis=1)
+            sym[row, best] = join
+            if n > 1:
+                col = np.arange(n - 1)
+                rank = np.take_along_axis(rank, col + (col > best[:, None]), axis=1)
+                for side in (best - 1, best):
+                    ok = (side >= 0) & (side < n - 1)
+                    rank[row[ok], side[ok]] = self.table.find(sym[row[ok], side[ok]], sym[row[ok], side[ok] + 1])[0]
 
     def merge(self, segment: str) -> list[str]:
         """The symbols that the agenda leaves of ``segment``."""
@@ -113,14 +237,19 @@ class Pieces:
     def learn(self, texts: list[list[str]]) -> None:
         """Fill the cache with the distinct segments of a batch, checking the new ones against the library."""
         if len(self.cache) > CACHE:
-            self.cache = {}
+            self.cache.clear()
         new = [s for s in set().union(*texts) if s not in self.cache and len(s) <= KEEP_CHARS]
-        ids = [self.ids_of(s) for s in new]
-        if self.check and new and "\n" in self.alone:
-            for s, mine, theirs in zip(new, ids, self.library(new), strict=True):
-                if mine != theirs:
-                    raise ValueError(f"agenda and library differ on {s!r}: {mine} and {theirs}")
-        self.cache.update((s, b"".join(i.to_bytes(4, "little") for i in x)) for s, x in zip(new, ids, strict=True))
+        self.cache.update(zip(new, self.checked(new), strict=True))
+
+    def checked(self, segments: list[str]) -> list[bytes]:
+        ids = self.bytes_of_many(segments)
+        if self.check and segments and "\n" in self.alone:
+            theirs = self.library(segments)
+            flat = np.fromiter(itertools.chain.from_iterable(theirs), "<u4")
+            if b"".join(ids) != flat.tobytes() or list(map(len, theirs)) != [len(x) // 4 for x in ids]:
+                bad = next(s for s, x, y in zip(segments, ids, theirs, strict=True) if np.frombuffer(x, "<u4").tolist() != list(y))
+                raise ValueError(f"agenda and library differ on {bad!r}")
+        return ids
 
     def encode_batch(self, texts: list[str], bos: bool = False, eos: bool = False) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -128,11 +257,7 @@ class Pieces:
         self.learn(cut)
         head = self.bos.to_bytes(4, "little") if bos else b""
         tail = self.eos.to_bytes(4, "little") if eos else b""
-        return [head + b"".join(map(self.of, c)) + tail for c in cut]
-
-    def of(self, segment: str) -> bytes:
-        got = self.cache.get(segment)
-        return got if got is not None else b"".join(i.to_bytes(4, "little") for i in self.ids_of(segment))
+        return [head + b"".join(map(self.cache.__getitem__, c)) + tail for c in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the decoded text: control ids vanish, one leading space goes, bad byte runs become U+FFFD."""
@@ -180,25 +305,15 @@ class Counter:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.single = {p: 1 for p in pieces.id if pieces.segment.findall(p) == [p] and len(pieces.ids_of(p)) == 1}
-        self.known = dict(self.single)
+        alone = [p for p in pieces.id if pieces.segment.findall(p) == [p]]
+        self.single = {p: 1 for p, ids in zip(alone, pieces.bytes_of_many(alone), strict=True) if len(ids) == 4}
+        self.known = _Cache(lambda s: len(pieces.ids_of(s)), self.single)
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        p = self.pieces
-        cut = [p.segments(t) for t in texts]
+        cut = [self.pieces.segments(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known = dict(self.single)
-        rest = list(set().union(*cut) - self.known.keys())
-        kept = {}
-        checked = [s for s in rest if len(s) <= KEEP_CHARS]
-        ids = [p.ids_of(s) for s in checked]
-        if p.check and checked and "\n" in p.alone:
-            for s, mine, theirs in zip(checked, ids, p.library(checked), strict=True):
-                if mine != theirs:
-                    raise ValueError(f"agenda and library differ on {s!r}: {mine} and {theirs}")
-        self.known.update((s, len(x)) for s, x in zip(checked, ids, strict=True))
-        for s in rest:
-            if len(s) > KEEP_CHARS:  # counted for this batch, not kept
-                kept[s] = len(p.ids_of(s))
-        known = self.known if not kept else self.known | kept
-        return [sum(map(known.__getitem__, c)) for c in cut]
+            self.known.clear()
+            self.known.update(self.single)
+        rest = [s for s in set().union(*cut) - self.known.keys() if len(s) <= KEEP_CHARS]
+        self.known.update((s, len(x) // 4) for s, x in zip(rest, self.pieces.checked(rest), strict=True))
+        return [sum(map(self.known.__getitem__, c)) for c in cut]

@@ -7,15 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from waymark.llm.common import read_table
 from waymark.llm.exact_dedup import dedup
 from waymark.llm.mixing import MIX_SQL, mix
+from waymark.llm.minhash import near_duplicates
 from waymark.llm.sharding import shard_documents
+from waymark.llm.suffix_dedup import remove_repeats
 from waymark.llm.tokens import count_tokens, default_model, encode_documents
 from waymark.llm.topk import TOPK_SQL, top_k
+from waymark.llm.toxicity import score_documents, train
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), default_model())
 
@@ -24,25 +31,37 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), default_model())
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).drop("source", "epochs")
+    return mix(read_table(spark, sf_dir, "documents")).drop("source", "epochs", "n_bytes")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
+    "op10_minhash": op10_minhash,
 }
 
 SQL: dict[str, str] = {
