@@ -6,7 +6,7 @@
    only share because they are copies of each other stay out.  Some style voters and a voter for texts without any
    hit join them.  A voter votes or abstains.
 2. Label model.  A two-class generative model estimates how often each voter votes in either class, by expectation
-   maximisation over the votes alone; correlations that remain between voters within a class lower the weight of
+   maximisation over the votes, with the rates among the labelled rows as prior; correlations that remain between voters within a class lower the weight of
    each in the second fit, so that near copies of a voter don't count twice.
 3. Classifier.  A logistic regression is trained on the posterior labels, with votes and hit densities as inputs,
    and scores every whole text.  Neither labels nor language, source or id are inputs.
@@ -38,6 +38,8 @@ CANDIDATES = 600
 #: Of the likelihood-ratio statistic, for a mined voter: odds of about 10^-6 for a term that marks nothing.
 SIGNIFICANT = 24.0
 SUPPORT = 3
+#: A mined voter marks at least this share of the toxic texts.
+SHARE = 0.02
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 HELD_OUT = 2
@@ -142,9 +144,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def evidence(a: float, b: float, toxic: int, clean: int) -> float:
+def evidence(a: float, b: float, toxic: int, clean: int, share: float = SHARE) -> float:
     """Likelihood-ratio statistic of a term in ``a`` of the toxic and ``b`` of the clean texts; 0 if it doesn't mark toxic ones."""
-    if a < SUPPORT or (a + 0.5) / (toxic + 1) < 5 * (b + 0.5) / (clean + 1):
+    if a < max(SUPPORT, share * toxic) or (a + 0.5) / (toxic + 1) < 5 * (b + 0.5) / (clean + 1):
         return 0.0
     n, g = toxic + clean, 0.0
     for x, row, col in ((a, toxic, a + b), (toxic - a, toxic, n - a - b), (b, clean, a + b), (clean - b, clean, n - a - b)):
@@ -172,7 +174,7 @@ def choose(held: list[list[int]], marked: list[bool], terms: list[str], most: in
     while len(chosen) < most:
         left = [h for h, k in zip(toxic, need, strict=True) if k]
         counts = Counter(i for h in left for i in h)
-        best = max(((evidence(counts[i], clean[i], len(left), n_clean), -i) for i in open_), default=(0, 0))
+        best = max(((evidence(counts[i], clean[i], len(toxic), n_clean, 0.0), -i) for i in open_), default=(0, 0))
         if best[0] < SIGNIFICANT:
             break
         chosen.append(-best[1])
@@ -182,10 +184,12 @@ def choose(held: list[list[int]], marked: list[bool], terms: list[str], most: in
     return chosen
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, prior: np.ndarray | None = None, strength: tuple[float, float] = (0.0, 0.0), rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the toxic class for each row, each voter's rates in both classes, and its weight.
 
-    ``start`` holds first posteriors.  Voters that nearly always vote alike share one vote.  After a first fit, the
+    ``start`` holds first posteriors; ``prior`` the rates that are expected in the clean and the toxic class, which
+    count as so many rows as ``strength`` says.  Without them, a class could drift to the largest group of voters
+    that agree, such as those of one language.  Voters that nearly always vote alike share one vote.  After a first fit, the
     correlations that are left within the classes give each voter the weight 1 / (1 + their sum), and the fit is repeated.
     """
     n, m = votes.shape
@@ -197,10 +201,11 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
         rates = np.zeros((2, m))
         for _ in range(rounds):
             for c, p in enumerate((1 - post, post)):
-                rates[c] = (votes.T @ p + 0.05) / (p.sum() + 0.1 + 1e-9)
+                known = strength[c] * prior[c] if prior is not None else 0.0
+                rates[c] = (votes.T @ p + known + 0.05) / (p.sum() + strength[c] + 0.1)
             rates[:] = np.clip(rates, 1e-4, 1 - 1e-4)
-            prior = np.clip(post.mean(), 1e-3, 0.5)
-            odds = np.log(prior / (1 - prior)) + (votes * (weight * np.log(rates[1] / rates[0]))).sum(axis=1)
+            share = np.clip(post.mean(), 1e-3, 0.5)
+            odds = np.log(share / (1 - share)) + (votes * (weight * np.log(rates[1] / rates[0]))).sum(axis=1)
             odds += ((1 - votes) * (weight * np.log((1 - rates[1]) / (1 - rates[0])))).sum(axis=1)
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             if np.abs(new - post).max() < 1e-6:
@@ -286,15 +291,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for b in batches:
             got = [model.votes(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bytes(v.astype(np.uint8)) for v, _ in got], pa.binary()), pa.array([d for _, d in got], pa.float64())], ["votes", "density"]
+                [
+                    pa.array([bytes(v.astype(np.uint8)) for v, _ in got], pa.binary()), pa.array([d for _, d in got], pa.float64()),
+                    pa.array([y > 0 for y in b.column(1).to_pylist()]),
+                ],
+                ["votes", "density", "marked"],
             )
 
-    cast = map_arrow(sample, vote, "votes binary, density double").toArrow().combine_chunks()  # at most ``rows`` short rows
+    cast = map_arrow(sample, vote, "votes binary, density double, marked boolean").toArrow().combine_chunks()  # at most ``rows`` short rows
     votes = np.frombuffer(b"".join(cast.column(0).to_pylist()), np.uint8).reshape(cast.num_rows, -1).astype(float)
-    order = np.lexsort((*votes.T, cast.column(1).to_numpy()))  # the same sums whatever the order of rows
-    votes, density = votes[order], cast.column(1).to_numpy()[order]
+    density, marked = cast.column(1).to_numpy(), cast.column(2).to_numpy(zero_copy_only=False)
+    order = np.lexsort((marked, *votes.T, density))  # the same sums whatever the order of rows
+    votes, density, marked = votes[order], density[order], marked[order]
+    prior = np.stack([votes[~marked].mean(axis=0), votes[marked].mean(axis=0)])
     start = np.where(votes[:, : model.n_terms].sum(axis=1) >= 1, 0.9, 0.02)
-    post, _, _ = label_model(votes, start)
+    post, _, _ = label_model(votes, start, prior, (clean, toxic))
     model.weights = logistic(model.features(votes, density), post)
     return model
 
