@@ -76,7 +76,7 @@ def test_label_model_finds_accuracies():
 
 
 def test_terms():
-    counts = [("badword", 40, 0), ("badw*", 40, 0), ("bad*", 60, 30), ("fine", 50, 500), ("rare", 2, 0)]
+    counts = [("badword", 40, 0), ("badw*", 40, 0), ("bad*", 60, 10), ("fine", 50, 500), ("rare", 2, 0)]
     assert sorted(candidates(counts, 100, 900)) == ["bad*", "badw*", "badword"]
     # candidate 1 only marks texts that candidates 0 and 2 mark already
     held, marked = [[0, 1, 2]] * 20 + [[0, 2]] * 20 + [[]] * 300, [True] * 40 + [False] * 300

@@ -40,6 +40,8 @@ SIGNIFICANT = 24.0
 SUPPORT = 3
 #: A mined voter marks at least this share of the toxic texts.
 SHARE = 0.02
+#: And of the labelled texts that it marks, at least this share is toxic.
+PRECISION = 0.8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 HELD_OUT = 2
@@ -146,7 +148,7 @@ class Model:
 
 def evidence(a: float, b: float, toxic: int, clean: int, share: float = SHARE) -> float:
     """Likelihood-ratio statistic of a term in ``a`` of the toxic and ``b`` of the clean texts; 0 if it doesn't mark toxic ones."""
-    if a < max(SUPPORT, share * toxic) or (a + 0.5) / (toxic + 1) < 5 * (b + 0.5) / (clean + 1):
+    if a < max(SUPPORT, share * toxic) or a < PRECISION * (a + b) or (a + 0.5) / (toxic + 1) < 5 * (b + 0.5) / (clean + 1):
         return 0.0
     n, g = toxic + clean, 0.0
     for x, row, col in ((a, toxic, a + b), (toxic - a, toxic, n - a - b), (b, clean, a + b), (clean - b, clean, n - a - b)):
