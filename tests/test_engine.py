@@ -190,3 +190,26 @@ def test_linear_score(spark):
     assert df.select(A.linear_score(0.5, [1.0] * 10).alias("s")).first().s == 5.5
     with pytest.raises(ValueError, match="weights"):
         A.linear_score(0.0, [1.0])
+
+
+def test_arrondissements_bind(spark):
+    data = [
+        ("Rue de Rivoli", "Paris 1er Arrondissement", "1", "", "75001", 48.860, 2.340, "paris"), ("Rue de Rivoli", "Paris 4e Arrondissement", "1", "", "75004", 48.855, 2.360, "paris"),
+        ("Rue Quelconque", "Paris 4e Arrondissement", "2", "", "75004", 48.855, 2.361, "paris"),
+    ]
+    g = Geocoder(build(rows(spark, data), country="fr"))
+    got = ask(spark, g, "1 rue de rivoli 75004 paris", "75001 paris", "75001 paris 4e", "2 rue quelconque paris 1er", "1 rue de rivoli paris 4eme")
+    assert got[0][0].commune == "Paris 4e Arrondissement" and got[1][0].precision == "city" and got[1][0].commune == "Paris 1er Arrondissement"
+    assert got[2] == [] and got[3] == [] and got[4][0].commune == "Paris 4e Arrondissement"
+
+
+def test_homonyms_with_a_qualifier(spark):
+    data = [
+        ("Via Roma", "Bergamo", "1", "", "", 45.70, 9.67), ("Via Roma", "Lecce", "1", "", "", 40.35, 18.17), ("Via Verdi", "Altrove", "1", "", "", 43.0, 12.0),
+    ]
+    df = rows(spark, data)
+    extra = [("via dante", "90001", "Via Dante", "Castro", "castro", "3", "", "", 45.80, 10.06, ""), ("via dante", "90002", "Via Dante", "Castro", "castro", "3", "", "", 40.00, 18.42, "")]
+    g = Geocoder(build(df.unionByName(spark.createDataFrame(extra, COLUMNS)), country="it"))
+    got = ask(spark, g, "via dante 3 castro bergamo", "via dante 3 castro lecce", "via dante 3 castro altrove")
+    assert got[0][0].lat == pytest.approx(45.80) and "geo_qualifier" in got[0][0].flags and "ambiguous_far" not in got[0][0].flags
+    assert got[1][0].lat == pytest.approx(40.00) and got[2] == []

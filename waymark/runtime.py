@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, list[str]] = {}
+_scopes: list[Scope] = []
 _shipped: set[str] = set()
 
 
@@ -41,15 +43,63 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         _scratch[app] = []
         atexit.register(_clean, spark, app)
     _scratch[app].append(path)
+    if _scopes:
+        _scopes[-1].paths.append(path)
     return path
 
 
+class Scope:
+    """Scratch tables that are made within it go at its end, but for those that are kept.
+
+    What is returned from within must only read kept tables.  Shuffle files of the finished stages go too, as soon
+    as the driver sees that nothing reaches them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._waymark_path)
+        return df
+
+    def discard(self, *still: DataFrame) -> None:
+        """Remove what was made so far, but for what is kept and what is ``still`` needed."""
+        left, needed = [], self.kept | {df._waymark_path for df in still}
+        for path in self.paths:
+            if path in needed:
+                left.append(path)
+            else:
+                delete_path(self.spark, path)
+                _scratch[self.spark.sparkContext.applicationId].remove(path)
+        self.paths = left
+        release(self.spark)
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _scopes.remove(self)
+        if kind is None:
+            self.discard()
+        if _scopes:
+            _scopes[-1].paths += self.paths
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that finished stages are unreachable, so that their shuffle files go now and not later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._waymark_path = path
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
