@@ -343,7 +343,7 @@ _WAYS = "ways AS (SELECT l_orderkey AS id, list(l_partkey) AS refs FROM lineitem
 
 def ways_and_nodes(spark, sf_dir):
     ways = X.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_partkey").alias("refs"))
-    nodes = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 40.0).alias("lat"), (F.col("p_retailprice") / 64).alias("lon"))
+    nodes = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 40.0).alias("lat"), (F.col("p_partkey") % 89).cast("double").alias("lon"))
     return ways, nodes
 
 
@@ -354,7 +354,7 @@ def semi_referenced(spark, sf_dir):
 
 
 @query("way_centroids", f"""
-WITH {_WAYS}, u AS (SELECT id, unnest(refs) AS ref FROM ways), pts AS (SELECT u.id, CAST(p_size + 40.0 AS DOUBLE) AS lat, p_retailprice / 64 AS lon FROM u JOIN part ON p_partkey = ref)
+WITH {_WAYS}, u AS (SELECT id, unnest(refs) AS ref FROM ways), pts AS (SELECT u.id, CAST(p_size + 40.0 AS DOUBLE) AS lat, CAST(p_partkey % 89 AS DOUBLE) AS lon FROM u JOIN part ON p_partkey = ref)
 SELECT id, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(median(lat), 6) AS mid_lat, round(median(lon), 6) AS mid_lon FROM pts GROUP BY id""")
 def way_centroids(spark, sf_dir):
     ways, nodes = ways_and_nodes(spark, sf_dir)
@@ -839,3 +839,56 @@ def dump_features(spark, sf_dir):
     from waymark.operators.features import features
 
     return features(X.structured_queries(spark, sf_dir), X.gazetteer(spark, sf_dir), blocks(spark, sf_dir))
+
+
+# more adapters and lookups
+
+@query("fit_bytes", """
+WITH d AS (SELECT doc_id, left(text, 300) AS t FROM documents)
+SELECT doc_id, CASE WHEN strlen(t) <= 255 THEN t ELSE left(t, list_max(list_filter(range(0, 256), lambda n: strlen(left(t, n)) <= 255))) END AS short FROM d""")
+def fit_bytes(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", text.fit_bytes(F.left("text", F.lit(300))).alias("short"))
+
+
+@query("nested_levels", """
+SELECT 's' || s_suppkey AS id, 'Rue ' || s_name AS nom_voie, CAST(s_suppkey % 90 + 1 AS VARCHAR) AS number_raw, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE CAST(10000 + s_suppkey AS VARCHAR) END AS postcode_raw,
+ n_name AS nom_commune, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE r_name END AS provincia
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey % 5 <> 0""")
+def nested_levels(spark, sf_dir):
+    s = F.col("s_suppkey")
+    rows = X.table(spark, sf_dir, "supplier").join(X.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = rows.join(X.table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    level = lambda c: F.struct(F.col(c).alias("value"))
+    raw = rows.select(
+        F.concat(F.lit("s"), s.cast("string")).alias("id"), F.concat(F.lit("Rue "), "s_name").alias("street"), (s % 90 + 1).cast("string").alias("number"),
+        F.when(s % 4 != 0, (s + 10000).cast("string")).alias("postcode"), F.when(s % 3 == 0, F.array(level("n_name"))).otherwise(F.array(level("r_name"), level("n_name"))).alias("address_levels"),
+        F.lit(2.0).alias("lon"), F.lit(48.0).alias("lat"), F.when(s % 5 == 0, "XX").otherwise("FR").alias("country"),
+    )
+    return canon.nested_addresses(raw, "FR").select("id", "nom_voie", "number_raw", "postcode_raw", "nom_commune", "provincia")
+
+
+@query("commune_lookup", f"""
+WITH {X.GAZETTEER}, p AS (SELECT DISTINCT left(lower(n_name), 8) AS phrase FROM nation UNION SELECT 'nation' UNION SELECT 'nowhere'),
+e AS (SELECT phrase, code, TRUE AS exact FROM p JOIN communes ON commune_norm = phrase),
+x AS (SELECT phrase, code, FALSE AS exact, row_number() OVER (PARTITION BY phrase ORDER BY commune_norm, code) AS n FROM p JOIN communes ON starts_with(commune_norm, phrase) WHERE phrase NOT IN (SELECT phrase FROM e))
+SELECT phrase, code, exact FROM e UNION ALL SELECT phrase, code, exact FROM x WHERE n <= 40""")
+def commune_lookup(spark, sf_dir):
+    nation = X.table(spark, sf_dir, "nation").select(F.left(F.lower("n_name"), F.lit(8)).alias("phrase"))
+    asked = nation.unionByName(spark.createDataFrame([("nation",), ("nowhere",)], "phrase string"))
+    return places.lookup_communes(asked, X.gazetteer(spark, sf_dir))
+
+
+@query("hash_shards", f"WITH {X.ADDRESSES} SELECT left(sha256('shard|' || part), 2) AS shard, count(*) AS n FROM addresses GROUP BY 1")
+def hash_shards(spark, sf_dir):
+    shard = F.left(S.hash_order("shard", F.col("part").cast("string")), F.lit(2))
+    return X.addresses(spark, sf_dir).groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("registry_stats", f"""
+WITH {X.ADDRESSES} SELECT count(*) AS n_rows, count(DISTINCT code) AS communes, count(DISTINCT street_norm || '|' || code) AS streets, count(DISTINCT postcode) AS postcodes,
+ min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM addresses""")
+def registry_stats(spark, sf_dir):
+    return X.addresses(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("code").alias("communes"), F.count_distinct(F.concat_ws("|", "street_norm", "code")).alias("streets"),
+        F.count_distinct("postcode").alias("postcodes"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"),
+    )
