@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from waymark.runtime import delete_path, materialize, scratch_path, shared_dir, ship
+from waymark.runtime import Scope, delete_path, materialize, release, scratch_path, shared_dir, ship
 
-__all__ = ["delete_path", "map_arrow", "materialize", "read_table", "release", "salted_row_number", "scratch_path", "shared_dir", "ship"]
+__all__ = ["Scope", "delete_path", "map_arrow", "materialize", "read_table", "release", "salted_row_number", "scratch_path", "shared_dir", "ship"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +19,6 @@ def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice that finished stages are unreachable, so that their shuffle files go now and not later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def salted_row_number(df: DataFrame, key: str, salt: Column, order: list[Column], out: str, parts: int) -> DataFrame:
     """Gapless numbers from 0 within ``key`` that no single task has to make.
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.llm.common import map_arrow, materialize
+from waymark.llm.common import Scope, map_arrow, materialize
 from waymark.llm.tokens import slices
 
 TRAIN_ROWS = 20_000
@@ -47,6 +47,8 @@ THRESHOLD = 0.3
 HELD_OUT = 2
 _WORD = re.compile(r"[^\W\d_]+")
 STYLES = 3
+#: Terms that a task counts before it hands them on.
+HELD_TERMS = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -244,6 +246,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Mine voters, fit the label model and train the classifier on at most ``rows`` labelled rows that aren't held out."""
+    with Scope(docs.sparkSession):
+        return _train(docs, labels, doc_id, text, rows)
+
+
+def _train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int) -> Model:
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("_w_id")).agg(F.max("toxic").alias("toxic"))
@@ -263,9 +270,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 both[y > 0].update(terms_of(words_of(t)))
-            if len(both[0]) + len(both[1]) > 2_000_000:
-                yield from emit(*both)
-                both = Counter(), Counter()
+                if len(both[0]) + len(both[1]) > HELD_TERMS:
+                    yield from emit(*both)
+                    both = Counter(), Counter()
         yield from emit(*both)
 
     def emit(c, t):
