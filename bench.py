@@ -31,7 +31,7 @@ def main() -> None:
         took[name] = round(time.time() - t, 3)
 
     timed("build", lambda: fixtures.gazetteer(spark, sf_dir))
-    timed("blocks", lambda: Q.blocks(spark, sf_dir).count())
+    timed("blocks", lambda: (Q.blocks(spark, sf_dir), Q.cells(spark, sf_dir)))
     for name in HEADLINE:
         timed(name, lambda: Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())  # noqa: B023
     total = round(sum(took.values()), 3)

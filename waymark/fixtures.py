@@ -97,13 +97,13 @@ FROM orders JOIN addresses a ON a.part = (o_orderkey * 31) % (SELECT count(*) FR
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point for each event, near the houses of a commune."""
     e, u = F.col("event_id"), F.col("user_id") % 25
-    lat = (F.lit(40) + u * F.lit(0.5)).cast("double") + (e % 101) / F.lit(10000.0)
-    lon = (F.lit(2) + u * F.lit(0.4)).cast("double") + (e % 103) / F.lit(10000.0)
+    lat = (u * 5000 + e % 101 + 400_000) / F.lit(10000.0)
+    lon = (u * 4000 + e % 103 + 20_000) / F.lit(10000.0)
     return table(spark, sf_dir, "events").select(e.alias("point_id"), lat.alias("lat"), lon.alias("lon"))
 
 
-POINTS = """points AS (SELECT event_id AS point_id, CAST(40 + (user_id % 25) * 0.5 AS DOUBLE) + (event_id % 101) / 10000.0 AS lat,
-       CAST(2 + (user_id % 25) * 0.4 AS DOUBLE) + (event_id % 103) / 10000.0 AS lon FROM events)"""
+POINTS = """points AS (SELECT event_id AS point_id, CAST((user_id % 25) * 5000 + event_id % 101 + 400000 AS DOUBLE) / 10000.0 AS lat,
+       CAST((user_id % 25) * 4000 + event_id % 103 + 20000 AS DOUBLE) / 10000.0 AS lon FROM events)"""
 
 
 def freeform_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,40 +12,48 @@ ENOUGH = 3
 MAX_K = 100
 
 
-def reverse(points: DataFrame, gaz: Gazetteer, k: int = 3, blocks: DataFrame | None = None) -> DataFrame:
+def cells_of(gaz: Gazetteer) -> DataFrame:
+    """A row for each grid cell: its streets, counted, and all their addresses, each with the spots where it was recorded.
+
+    A point's search then joins a few rows, whatever the number of houses around it.
+    """
+    spot = F.struct("lon_e7", "lat_e7", "postcode")
+    addresses = gaz.houses.groupBy("street_norm", "code", "numero", "rep").agg(F.collect_list(spot).alias("spots"))
+    placed = addresses.join(gaz.streets.select("street_norm", "code", "cell"), ["street_norm", "code"])
+    entry = F.struct("street_norm", "code", "numero", "rep", "spots")
+    blocks = placed.groupBy("cell").agg(F.collect_list(entry).alias("block"))
+    return gaz.streets.groupBy("cell").agg(F.count(F.lit(1)).alias("n_streets")).join(blocks, "cell")
+
+
+def reverse(points: DataFrame, gaz: Gazetteer, k: int = 3, cells: DataFrame | None = None) -> DataFrame:
     """point_id and the k nearest addresses for points (point_id, lat, lon).
 
     Streets are those whose centroid lies in the cells around the point, in the smallest of RINGS that holds ENOUGH
     of them (else the largest).  Of rows with one number and suffix on a street the nearest counts.
-    A point that isn't valid is an error.
+    Distances count to the micrometre, and ties go to the smaller coordinates.  A point that isn't valid is an error.
     """
     k = min(k, MAX_K)
+    cells = cells if cells is not None else cells_of(gaz)
     ok = geo.valid(F.col("lat"), F.col("lon"))
     points = points.select("point_id", F.when(ok, F.col("lat")).otherwise(F.raise_error(F.lit("coordinates out of range"))).alias("lat"), "lon")
     around = points.select("point_id", "lat", "lon", F.explode(F.array_distinct(geo.cells_around(F.col("lat"), F.col("lon"), RINGS[-1]))).alias("near"))
-    around = around.select("point_id", "lat", "lon", "near.cell", "near.ring")
-    met = around.join(gaz.streets.select("cell", "street_norm", "code"), "cell")
+    around = around.select("point_id", "lat", "lon", "near.cell", "near.ring").join(cells.select("cell", "n_streets"), "cell")
     w = W.partitionBy("point_id")
-    for r in RINGS[:-1]:
-        met = met.withColumn(f"in{r}", F.count_if(F.col("ring") <= r).over(w))
     ring = F.lit(RINGS[-1])
     for r in reversed(RINGS[:-1]):
-        ring = F.when(F.col(f"in{r}") >= ENOUGH, r).otherwise(ring)
-    met = met.where(F.col("ring") <= ring).select("point_id", "lat", "lon", "street_norm", "code")
+        ring = F.when(F.sum(F.when(F.col("ring") <= r, F.col("n_streets")).otherwise(0)).over(w) >= ENOUGH, r).otherwise(ring)
+    around = around.withColumn("most", ring).where(F.col("ring") <= F.col("most")).select("point_id", "lat", "lon", "cell")
+    deg = lambda s, c: s[c] / 1e7
+
+    def nearest(h):
+        spots = F.transform(h["spots"], lambda s: F.struct(F.round(geo.flat_metres(F.col("lat"), F.col("lon"), deg(s, "lat_e7"), deg(s, "lon_e7")), 6).alias("dist"), s["lon_e7"].alias("lon_e7"), s["lat_e7"].alias("lat_e7"), s["postcode"].alias("postcode")))
+        return F.struct(F.array_min(spots).alias("b"), h["street_norm"].alias("street_norm"), h["code"].alias("code"), h["numero"].alias("numero"), h["rep"].alias("rep"))
+
+    best = F.slice(F.array_sort(F.transform("block", nearest)), 1, k)  # a cell's own nearest k are enough
+    near = around.join(cells.select("cell", "block"), "cell").select("point_id", F.explode(best).alias("x")).select("point_id", "x.*")
+    order = W.partitionBy("point_id").orderBy("b", "street_norm", "code", "numero", "rep")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", "rank", "street_norm", "code", "numero", "rep", "b.*")
     info = gaz.streets.select("street_norm", "code", "street", "commune", "pc_ambiguous", F.col("postcode").alias("s_postcode"))
-    if blocks is None:
-        from waymark.operators.answers import blocks_of
-
-        blocks = blocks_of(gaz.houses)
-    house = lambda h, c: h[c] / 1e7
-    # each street's own nearest k addresses are enough
-    far = F.transform("block", lambda h: F.struct(geo.flat_metres(F.col("lat"), F.col("lon"), house(h, "lat_e7"), house(h, "lon_e7")).alias("dist"), h.alias("h")))
-    near = met.join(blocks, ["street_norm", "code"]).select("point_id", "street_norm", "code", F.explode(far).alias("x")).select("point_id", "street_norm", "code", "x.dist", "x.h.*")
-    order = [F.asc("dist"), F.asc("lon_e7"), F.asc("lat_e7")]
-    near = near.groupBy("point_id", "street_norm", "code", "numero", "rep").agg(F.min(F.struct("dist", "lon_e7", "lat_e7", "postcode")).alias("b"))
-    near = near.select("point_id", "street_norm", "code", "numero", "rep", "b.*")
-    order += [F.asc("street_norm"), F.asc("code"), F.asc("numero"), F.asc("rep")]
-    near = near.withColumn("rank", F.row_number().over(W.partitionBy("point_id").orderBy(*order))).where(F.col("rank") <= k)
     out = near.join(info, ["street_norm", "code"])
     precision = F.when(F.col("dist") <= 50, "house").when(F.col("dist") <= 250, "near").otherwise("approximate")
     return out.select(

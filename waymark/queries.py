@@ -451,6 +451,16 @@ def blocks(spark, sf_dir):
     return _blocks[key]
 
 
+def cells(spark, sf_dir):
+    """Addresses by grid cell, written once a session."""
+    from waymark.runtime import materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir, "cells")
+    if key not in _blocks:
+        _blocks[key] = materialize(R.cells_of(X.gazetteer(spark, sf_dir)), "cells")
+    return _blocks[key]
+
+
 def hits(rows: DataFrame) -> DataFrame:
     e7 = lambda c: F.round(F.col(c) * 1e7).cast("long").alias(f"{c}_e7")
     return rows.select("query_id", "precision", "score", "confidence", "street", "housenumber", "commune", "postcode", e7("lat"), e7("lon"), F.concat_ws(",", "flags").alias("flags"))
@@ -616,23 +626,23 @@ d AS (SELECT unnest(range(-4, 5)) AS dr), near_ AS (SELECT p.point_id, p.lat, p.
 w AS (SELECT *, count(*) FILTER (ring <= 1) OVER (PARTITION BY point_id) AS n1, count(*) FILTER (ring <= 2) OVER (PARTITION BY point_id) AS n2 FROM near_),
 u AS (SELECT * FROM w WHERE ring <= CASE WHEN n1 >= 3 THEN 1 WHEN n2 >= 3 THEN 2 ELSE 4 END),
 h AS (SELECT u.point_id, u.street_norm, u.code, u.street, u.commune, u.pc_ambiguous, u.postcode AS s_pc, h.numero, h.rep, h.postcode, h.lat_e7 AS hy, h.lon_e7 AS hx,
-   sqrt(((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) * ((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) + ((h.lat_e7 / 1e7 - u.lat) * 111320.0) * ((h.lat_e7 / 1e7 - u.lat) * 111320.0)) AS dist
+   round(sqrt(((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) * ((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) + ((h.lat_e7 / 1e7 - u.lat) * 111320.0) * ((h.lat_e7 / 1e7 - u.lat) * 111320.0)), 6) AS dist
    FROM u JOIN houses h USING (street_norm, code)),
 o AS (SELECT *, row_number() OVER (PARTITION BY point_id, street_norm, code, numero, rep ORDER BY dist, hx, hy, postcode) AS dup FROM h),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY dist, hx, hy, street_norm, code, numero, rep) AS INTEGER) AS rank FROM o WHERE dup = 1)
 SELECT point_id, rank, CASE WHEN dist <= 50 THEN 'house' WHEN dist <= 250 THEN 'near' ELSE 'approximate' END AS precision, street, numero || rep AS housenumber, commune,
-  CASE WHEN pc_ambiguous THEN postcode ELSE s_pc END AS postcode, hy AS lat_e7, hx AS lon_e7, round(dist, 3) AS distance_m, round(greatest(least(0.97 - dist / 500.0, 0.95), 0.1), 6) AS confidence FROM r WHERE rank <= 3""")
+  CASE WHEN pc_ambiguous THEN postcode ELSE s_pc END AS postcode, hy AS lat_e7, hx AS lon_e7, dist AS distance_m, greatest(least(0.97 - dist / 500.0, 0.95), 0.1) AS confidence FROM r WHERE rank <= 3""")
 def reverse_geocode(spark, sf_dir):
-    out = R.reverse(X.points(spark, sf_dir), X.gazetteer(spark, sf_dir), 3, blocks(spark, sf_dir))
+    out = R.reverse(X.points(spark, sf_dir), X.gazetteer(spark, sf_dir), 3, cells(spark, sf_dir))
     return out.select(
         "point_id", "rank", "precision", "street", "housenumber", "commune", "postcode", F.round(F.col("lat") * 1e7).cast("long").alias("lat_e7"),
-        F.round(F.col("lon") * 1e7).cast("long").alias("lon_e7"), F.round("distance_m", 3).alias("distance_m"), F.round("confidence", 6).alias("confidence"),
+        F.round(F.col("lon") * 1e7).cast("long").alias("lon_e7"), "distance_m", "confidence",
     )
 
 
 @query("reverse_bands", SQL["reverse_geocode"].replace("SELECT point_id, rank, CASE", "SELECT CASE").split(", street, numero || rep")[0] + ", count(*) AS n FROM r WHERE rank <= 3 GROUP BY 1")
 def reverse_bands(spark, sf_dir):
-    return R.reverse(X.points(spark, sf_dir), X.gazetteer(spark, sf_dir), 3, blocks(spark, sf_dir)).groupBy("precision").agg(F.count(F.lit(1)).alias("n"))
+    return R.reverse(X.points(spark, sf_dir), X.gazetteer(spark, sf_dir), 3, cells(spark, sf_dir)).groupBy("precision").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("resolve_place", f"WITH {X.GAZETTEER} SELECT commune_norm AS phrase, round(lat_e7 / 1e7, 6) AS lat, round(lon_e7 / 1e7, 6) AS lon, commune AS name, prominence FROM communes")
