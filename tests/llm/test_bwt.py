@@ -20,7 +20,7 @@ def test_wide_letters_are_exact_and_ordered():
     for width in (1, 3, 8, 9, 20):
         b = buf.tobytes() + bytes(width)
         words = [b[i : i + width] for i in range(400)]
-        want = {w: i for i, w in enumerate(sorted(set(words)))}
+        want = {w: i for i, w in enumerate(sorted({*words, bytes(width)}))}
         assert wide_letters(buf, width).tolist() == [want[w] for w in words]
 
 

@@ -38,7 +38,7 @@ def corpus(seed, n=120, scale=1):
             if w and rng.random() < 0.7:
                 w[rng.randrange(len(w))] = rng.choice(words)
         rows.append((i, " ".join(w)))
-    return rows + [(900, None), (901, ""), (902, "a" * 150 * scale), (903, "ab" * 70 * scale), (4, rows[4][1]), (5, rows[6][1]), (None, rows[7][1]), (None, "n" + passage)]
+    return rows + [(900, None), (901, ""), (902, "a" * 150 * scale), (903, "ab" * 70 * scale), (904, "xyz" * (15 if scale == 1 else 72)), (905, "q" * (42 if scale == 1 else 203)), (4, rows[4][1]), (5, rows[6][1]), (None, rows[7][1]), (None, "n" + passage)]
 
 
 def test_runs_hold_every_window_once():
@@ -46,7 +46,7 @@ def test_runs_hold_every_window_once():
     for _ in range(60):
         texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(50))) for _ in range(rng.randrange(1, 6))]
         length, gram = rng.choice([(8, 3), (5, 5), (12, 4), (1, 1)])
-        text, first, last, key, content = runs(texts, length, gram)
+        text, first, last, key, content, twice = runs(texts, length, gram)
         got = sorted((t, p) for t, a, b in zip(text, first, last) for p in range(a, b + 1))
         assert got == [(t, p) for t, x in enumerate(texts) for p in range(len(x) - length + 1)]
         of, what = {}, {}
@@ -55,6 +55,11 @@ def test_runs_hold_every_window_once():
             assert what.setdefault(c, texts[t][a : b + length]) == texts[t][a : b + length]
             for p in range(a, b + 1):
                 assert of.setdefault(texts[t][p : p + length], k) == k
+        # a key with one run, and not marked, has no repeated window
+        seen = Counter(texts[t][p : p + length] for t, p in got)
+        runs_of = Counter(key.tolist())
+        for t, a, b, k, w in zip(text, first, last, key, twice):
+            assert w or runs_of[k] > 1 or all(seen[texts[t][p : p + length]] == 1 for p in range(a, b + 1))
 
 
 def test_long_texts_are_cut_with_overlap(monkeypatch):

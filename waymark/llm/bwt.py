@@ -26,23 +26,35 @@ def stable_order(x: np.ndarray) -> np.ndarray:
 
 def ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of 64-bit keys."""
-    return np.unique(keys, return_inverse=True)[1].astype(np.uint32)
+    order = np.argsort(keys)
+    there = keys[order]
+    step = np.empty(len(keys), dtype=np.uint32)
+    if len(keys):
+        step[0] = 0
+        np.not_equal(there[1:], there[:-1], out=step[1:].view(np.uint32), casting="unsafe")
+    out = np.empty(len(keys), dtype=np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
+    return out
 
 
 def wide_letters(buf: np.ndarray, width: int) -> np.ndarray:
-    """The rank of the ``width`` bytes at each position of ``buf`` (zeros beyond its end)."""
-    n = len(buf)
-    out = None
-    at = 0
+    """The rank of the ``width`` bytes at each position of ``buf`` (zeros beyond its end).
+
+    Ranks of eight bytes are joined to ranks of twice as many, the last two overlapping as far as they must.
+    """
+    n, m = len(buf), len(buf) + width
     padded = np.concatenate([buf, np.zeros(width + 8, np.uint8)])
-    while at < width:
-        size = min(8 if out is None else 4, width - at)
-        key = np.zeros(n, dtype=np.uint64)
-        for j in range(size):
-            key = (key << np.uint64(8)) | padded[at + j : at + j + n]
-        out = ranks(key) if out is None else ranks((out.astype(np.uint64) << np.uint64(32)) | key)
-        at += size
-    return out
+    have = min(8, width)
+    key = np.zeros(m, dtype=np.uint64)
+    for j in range(have):
+        key = (key << np.uint64(8)) | padded[j : j + m]
+    out = ranks(key)
+    while have < width:
+        step = min(have, width - have)
+        after = np.concatenate([out[step:], np.full(step, out[-1])])  # the last position holds zeros only
+        out = ranks((out.astype(np.uint64) << np.uint64(32)) | after)
+        have += step
+    return out[:n]
 
 
 class Shard:
@@ -53,10 +65,8 @@ class Shard:
         terminators; ``before``: letter in front, 0 for first suffixes; ``ids``: the suffixes' global numbers."""
         n = len(letter)
         ends = letter == 0
-        name = letter.astype(np.int64)
-        name[ends] = np.arange(np.count_nonzero(ends))  # all different, below all letters
-        name[~ends] += n
-        name = ranks(name.astype(np.uint64)).astype(np.uint64)
+        name = letter.astype(np.uint64) + np.uint64(n)
+        name[ends] = np.arange(np.count_nonzero(ends), dtype=np.uint64)  # all different, below all letters
         hop = follow
         while True:  # prefix doubling, for this shard's suffixes only
             pair = np.where(ends, name << np.uint64(32), (name << np.uint64(32)) | name[hop])
@@ -76,9 +86,10 @@ def merge(shards: list[Shard], terminators: list[int], rounds: int) -> tuple[np.
     """
     before = np.concatenate([s.bwt for s in shards])
     sizes = [len(s.bwt) for s in shards]
-    inter = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    kind = np.uint8 if len(shards) < 256 else np.uint16
+    inter = np.repeat(np.arange(len(shards), dtype=kind), sizes)
     n, n_ends = len(inter), sum(terminators)
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), terminators)
+    ends = np.repeat(np.arange(len(shards), dtype=kind), terminators)
     block = np.zeros(n, dtype=np.int64)
     for _ in range(rounds):
         place = np.argsort(inter, kind="stable")  # of each shard's entries, in turn

@@ -5,11 +5,12 @@ same one) goes; overlaps count and strings are judged on the input.
 
 1. Each text is cut into runs of windows.  A window's key is the least hash of its ``gram``-byte pieces, so equal
    windows have equal keys; consecutive windows with one key are a run, and a run is a string of bytes.  Runs
-   whose key occurs once can hold no repeated window and go no further: nothing is lost.
+   whose key has one run and one piece can hold no repeated window and go no further: nothing is lost.
 2. Equal runs are counted as one string with a weight.  A weight of two settles all windows of the run.
 3. Strings that share their key with other strings are gathered, whole keys to a task.  There, shards of them get
    Burrows-Wheeler transforms, which are merged by iterative interleave refinement; blocks that agree in
-   ``length`` bytes are the repeated intervals, and the starts in them are repeated windows.
+   ``length`` bytes are the repeated intervals, and the starts in them are repeated windows.  Stretches of windows
+   whose keys by longer pieces occur once in the task are left out first.
 4. A key shared by more than HOT different strings is no task of its own: its strings are cut into runs again, by
    longer pieces, down to single windows, which are counted like any run.  The results go back up the same way.
 5. Every text collects its repeated windows, and the bytes under them are removed.
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.bwt import repeated_windows
-from waymark.llm.common import map_arrow, materialize, release
+from waymark.llm.common import Scope, map_arrow, materialize, release
 from waymark.llm.shingles import mix
 from waymark.llm.tokens import slices
 
@@ -72,8 +73,9 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows in all texts: text, first and last window start, key and content hash (int64)."""
+def runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows in all texts: text, first and last window start, key and content hash (int64), and whether the
+    piece that gives the key may occur twice within these texts, as it does in a run that repeats itself."""
     width = length - gram + 1
     found: list[tuple] = []
     at = 0
@@ -92,7 +94,7 @@ def runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.nda
         at = stop
     if not found:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z
+        return z, z, z, z, z, np.zeros(0, dtype=bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -106,6 +108,10 @@ def _runs(texts, numbers, shift, length, gram, width):
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
     grams = mix((total[gram:] - total[:-gram]) * inverse[: len(buf) - gram + 1])
     least = _least(grams, width) if width > 1 else grams
+    # pieces that give some window its key: windows reach ``width`` pieces, so a piece is in as many windows
+    reach = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
+    chosen = grams[_least(~reach, width) == ~grams] if width > 1 else grams[:0]
+    value, times = np.unique(chosen, return_counts=True)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     some = sizes >= length
@@ -132,7 +138,8 @@ def _runs(texts, numbers, shift, length, gram, width):
     content = mix((total[stop] - total[heads]) * inverse[heads] + (stop - heads).astype(np.uint64))
     own = np.flatnonzero(some)[text]
     back = starts[own] - shift
-    return [(np.array(numbers, dtype=np.int64)[own], heads - back, tails - back, least[heads].view(np.int64), content.view(np.int64))]
+    twice = np.isin(least[heads], value[times > 1])
+    return [(np.array(numbers, dtype=np.int64)[own], heads - back, tails - back, least[heads].view(np.int64), content.view(np.int64), twice)]
 
 
 def text_key(data: bytes) -> tuple[int, int]:
@@ -157,7 +164,7 @@ def _scan(length: int, gram: int):
             for b in slices(whole, 1):
                 texts = [t or b"" for t in b.column(1).to_pylist()]
                 keys = np.array([text_key(t) for t in texts], dtype=np.int64).reshape(-1, 2)
-                text, first, last, key, content = runs(texts, length, gram)
+                text, first, last, key, content, twice = runs(texts, length, gram)
                 n, m = len(texts), len(text)
                 # a row for each text (start -1), then its runs
                 yield pa.RecordBatch.from_arrays(
@@ -169,8 +176,9 @@ def _scan(length: int, gram: int):
                         pa.array(np.concatenate([[len(t) for t in texts], last - first + length]).astype(np.int64)),
                         pa.array(np.concatenate([np.zeros(n, np.int64), key])),
                         pa.array(np.concatenate([np.zeros(n, np.int64), content])),
+                        pa.array(np.concatenate([np.zeros(n, bool), twice])),
                     ],
-                    ["doc_id", "k1", "k2", "start", "size", "key", "content"],
+                    ["doc_id", "k1", "k2", "start", "size", "key", "content", "twice"],
                 )
 
     return run
@@ -191,14 +199,14 @@ def _split(length: int, gram: int):
     def run(batches):
         for b in batches:
             bodies = b.column(3).to_pylist()
-            text, first, last, key, content = runs(bodies, length, gram)
+            text, first, last, key, content, twice = runs(bodies, length, gram)
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key), pa.array(content), b.column(2).take(at), b.column(0).take(at), b.column(1).take(at), pa.array(first),
-                    pa.array([bodies[i][f : l + length] for i, f, l in zip(text, first, last, strict=True)], pa.binary()),
+                    pa.array([bodies[i][f : l + length] for i, f, l in zip(text, first, last, strict=True)], pa.binary()), pa.array(twice),
                 ],
-                ["key", "content", "n", "up_key", "up_content", "shift", "body"],
+                ["key", "content", "n", "up_key", "up_content", "shift", "body", "twice"],
             )
 
     return run
@@ -211,17 +219,37 @@ def _spans(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def _merge(length: int, width: int):
+def pieces_to_merge(bodies: list[bytes], weights: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, first and last window of the pieces of ``bodies`` that may hold a repeated window.
+
+    The strings are cut into runs by longer pieces than before; a run whose key occurs once is left out, and
+    neighbouring runs that stay are one piece again.
+    """
+    text, first, last, key, _, twice = runs(bodies, length, gram)
+    _, of = np.unique(key, return_inverse=True)
+    keep = twice | (np.bincount(of, weights=weights[text])[of] >= 2) if len(of) else twice
+    text, first, last = text[keep], first[keep], last[keep]
+    head = np.ones(len(text), dtype=bool)
+    head[1:] = (text[1:] != text[:-1]) | (first[1:] != last[:-1] + 1)
+    tail = np.append(head[1:], True) if len(head) else head
+    return text[head], first[head], last[tail]
+
+
+def _merge(length: int, gram: int, width: int):
+    longer = (gram + length) // 2
+
     def block(rows):
-        tables = pa.Table.from_batches(rows)
-        weights = tables.column(2).to_pylist()
-        hits = repeated_windows(tables.column(3).to_pylist(), weights, length, width)
-        some = [i for i, h in enumerate(hits) if h.any()]
+        table = pa.Table.from_batches(rows)
+        weights, bodies = table.column(2).to_numpy(), table.column(3).to_pylist()
+        text, first, last = pieces_to_merge(bodies, weights, length, longer)
+        hits = repeated_windows([bodies[i][f : l + length] for i, f, l in zip(text, first, last, strict=True)], weights[text].tolist(), length, width)
+        spans: dict[int, list[int]] = {}
+        for i, f, h in zip(text.tolist(), first.tolist(), hits, strict=True):
+            if h.any():
+                spans.setdefault(i, []).extend(f + x for x in _spans(h))
+        some = pa.array(list(spans), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [
-                tables.column(0).take(pa.array(some, pa.int64())).combine_chunks(), tables.column(1).take(pa.array(some, pa.int64())).combine_chunks(),
-                pa.array([_spans(hits[i]) for i in some], pa.list_(pa.int64())),
-            ],
+            [table.column(0).take(some).combine_chunks(), table.column(1).take(some).combine_chunks(), pa.array(list(spans.values()), pa.list_(pa.int64()))],
             ["key", "content", "spans"],
         )
 
@@ -287,26 +315,26 @@ def _settled(items: DataFrame, length: int) -> DataFrame:
     return items.where("n > 1").select("key", "content", F.array(F.lit(0).cast("long"), F.col("size") - length).alias("spans"))
 
 
-def _repeats(items: DataFrame, length: int, width: int, splits: tuple[int, ...], hot: int) -> DataFrame:
+def _repeats(items: DataFrame, length: int, gram: int, width: int, splits: tuple[int, ...], hot: int) -> DataFrame:
     """key, content and spans of the strings in ``items`` (key, content, n, body) that hold repeated windows."""
     sizes = items.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).withColumnRenamed("key", "_w_key")
     sizes = materialize(sizes, "bwt-keys")
     cool = items.join(sizes.where(F.col("strings") <= hot), F.col("key") == F.col("_w_key")).select("key", "content", "n", "body")
     cool = cool.repartition("key").sortWithinPartitions("key")
-    found = materialize(map_arrow(cool, _merge(length, width), "key long, content long, spans array<long>"), "bwt-repeats")
+    found = materialize(map_arrow(cool, _merge(length, gram, width), "key long, content long, spans array<long>"), "bwt-repeats")
     many = sizes.where(F.col("strings") > hot)
     if not splits or many.isEmpty():
         return found
     warm = items.join(many, F.col("key") == F.col("_w_key")).select("key", "content", "n", "body")
-    kind = "key long, content long, n long, up_key long, up_content long, shift long, body binary"
+    kind = "key long, content long, n long, up_key long, up_content long, shift long, body binary, twice boolean"
     parts = materialize(map_arrow(warm, _split(length, splits[0]), kind), "bwt-parts")
-    small = parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.first("body").alias("body"), F.count(F.lit(1)).alias("ups"))
+    small = parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.first("body").alias("body"), F.bool_or("twice").alias("twice"))
     small = materialize(small, "bwt-part-strings")
-    alone = small.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("_w_key"))
+    alone = small.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bool_or("twice").alias("t")).where("c > 1 OR t").select(F.col("key").alias("_w_key"))
     alone = materialize(alone, "bwt-part-keys")
     done = _settled(small.withColumn("size", F.octet_length("body")), length)
     more = small.join(alone, F.col("key") == F.col("_w_key"), "left_semi").select("key", "content", "n", "body")
-    below = materialize(done.unionByName(_repeats(materialize(more, "bwt-part-items"), length, width, splits[1:] or (length,) if splits != (length,) else (), hot)), "bwt-below")
+    below = materialize(done.unionByName(_repeats(materialize(more, "bwt-part-items"), length, splits[0], width, splits[1:] or (length,) if splits != (length,) else (), hot)), "bwt-below")
     below = below.select(F.col("key").alias("_w_key"), F.col("content").alias("_w_content"), "spans")
     up = parts.join(below, (F.col("key") == F.col("_w_key")) & (F.col("content") == F.col("_w_content")))
     up = up.select(F.col("up_key").alias("key"), F.col("up_content").alias("content"), F.transform("spans", lambda x: x + F.col("shift")).alias("spans"))
@@ -315,21 +343,21 @@ def _repeats(items: DataFrame, length: int, width: int, splits: tuple[int, ...],
     return materialize(found.unionByName(up), "bwt-all")
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = 20, doc_id: str = "doc_id", text: str = "text", splits=SPLITS, hot: int = HOT) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = 25, doc_id: str = "doc_id", text: str = "text", splits=SPLITS, hot: int = HOT) -> DataFrame:
     """k1, k2 (the text's key), all (every window repeated) and spans: array of (start, spans), for texts with repeats."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    kind = "doc_id long, k1 long, k2 int, start long, size long, key long, content long"
+    kind = "doc_id long, k1 long, k2 int, start long, size long, key long, content long, twice boolean"
     scanned = materialize(map_arrow(rows, _scan(length, gram), kind), "dedup-runs")
     texts = scanned.where("start = -1").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(texts, "dedup-texts")
     all_runs = scanned.where("start >= 0").drop("doc_id")
-    shared = all_runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("_w_key"))
+    shared = all_runs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bool_or("twice").alias("t")).where("c > 1 OR t").select(F.col("key").alias("_w_key"))
     shared = materialize(shared, "dedup-keys")
     met = materialize(all_runs.join(shared, F.col("key") == F.col("_w_key")).drop("_w_key"), "dedup-met")
     release(docs.sparkSession)
-    strings = met.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at"))
-    strings = materialize(strings.select("key", "content", "n", "at.*"), "dedup-strings")
-    several = strings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("_w_key"))
+    strings = met.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at"), F.bool_or("twice").alias("twice"))
+    strings = materialize(strings.select("key", "content", "n", "twice", "at.*"), "dedup-strings")
+    several = strings.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bool_or("twice").alias("t")).where("c > 1 OR t").select(F.col("key").alias("_w_key"))
     several = materialize(several, "dedup-several")
     wanted = strings.join(several, F.col("key") == F.col("_w_key"), "left_semi")
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "content", "n", "start", "size")).alias("items"))
@@ -341,7 +369,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width:
     # rows that repeat an id and text fetch the same strings more than once
     bodies = materialize(bodies.groupBy("key", "content").agg(F.max("n").alias("n"), F.first("body").alias("body")), "dedup-items")
     release(docs.sparkSession)
-    found = _settled(strings, length).unionByName(_repeats(bodies, length, width, splits, hot))
+    found = _settled(strings, length).unionByName(_repeats(bodies, length, gram, width, splits, hot))
     # a string that is settled and also met others: either covers all of it
     found = materialize(found, "dedup-found").select(F.col("key").alias("_w_key"), F.col("content").alias("_w_content"), "spans")
     release(docs.sparkSession)
@@ -349,15 +377,16 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width:
     own = met.join(found, (F.col("key") == F.col("_w_key")) & (F.col("content") == F.col("_w_content"))).select("k1", "k2", "start", "spans")
     own = materialize(own, "dedup-own")
     once = texts.where("copies = 1").select(F.col("k1").alias("_w_k1"), F.col("k2").alias("_w_k2"))
-    own = own.join(once, (F.col("k1") == F.col("_w_k1")) & (F.col("k2") == F.col("_w_k2")), "left_semi")
+    own = materialize(own.join(once, (F.col("k1") == F.col("_w_k1")) & (F.col("k2") == F.col("_w_k2")), "left_semi"), "dedup-once")
     spans = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("spans")).withColumn("all", F.lit(False))
     none = F.lit(None).cast("array<struct<start:bigint,spans:array<bigint>>>")
     return materialize(spans.unionByName(copied.withColumn("spans", none).withColumn("all", F.lit(True))), "dedup-spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = 20, doc_id: str = "doc_id", text: str = "text", splits=SPLITS, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = 25, doc_id: str = "doc_id", text: str = "text", splits=SPLITS, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
-    spans = find_repeats(docs, length, gram, width, doc_id, text, splits, hot)
+    with Scope(docs.sparkSession) as scope:
+        spans = scope.keep(find_repeats(docs, length, gram, width, doc_id, text, splits, hot))
     spans = spans.select(F.col("k1").alias("_w_k1"), F.col("k2").alias("_w_k2"), "spans", "all")
     keyed = with_key(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text")
     rows = keyed.join(spans, (F.col("k1") == F.col("_w_k1")) & (F.col("k2") == F.col("_w_k2")), "left")
