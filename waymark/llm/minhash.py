@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import map_arrow, materialize
+from waymark.llm.common import Scope, map_arrow, materialize
 from waymark.llm.components import connected_components
 from waymark.llm.shingles import mix, shingle_sets
 from waymark.llm.tokens import slices
@@ -233,45 +233,48 @@ def _sets(k: int):
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    signed = materialize(map_arrow(rows, _sign(k), "doc_id long, n_shingles long, node binary, regs binary"), "near-signatures")
-    some = signed.where("node IS NOT NULL")
-    nodes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
-    nodes = materialize(nodes, "near-classes")
-
-    banded = materialize(map_arrow(nodes.select("node", "regs"), _bands, "key long, band byte, node binary"), "near-bands")
-    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "_w_key"), "near-buckets")
-    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-    met = materialize(
-        banded.join(shared, F.col("key") == F.col("_w_key")).select("key", "band", "node", chunks.alias("chunks")), "near-members"
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = (
-        met.join(nodes.select(F.col("node").alias("_w_node"), "regs", "n_shingles"), F.col("node") == F.col("_w_node"))
-        .withColumn("chunk", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n_shingles", "regs")
-    )
-    order = ["key", "band", "lo", "hi"]
-    shape = "key long, band byte, lo int, hi int, chunk int, node binary, n_shingles long, regs binary"
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order)
-    flagged = materialize(map_arrow(dealt, _flag(percent), shape), "near-candidates")
-
-    wanted = flagged.select("node").distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("_w_least"))
-    wanted = materialize(wanted.select("_w_least").distinct(), "near-wanted")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_w_least")), "left_semi").select("text")
-    sets = map_arrow(texts, _sets(k), "node binary, shingles binary").dropDuplicates(["node"])
-    sets = materialize(sets.withColumnRenamed("node", "_w_node"), "near-sets")
-    full = flagged.join(sets, F.col("node") == F.col("_w_node")).drop("_w_node")
-    full = full.repartition(*order).sortWithinPartitions(*order)
-    links = materialize(map_arrow(full, _confirm(percent), "u binary, v binary"), "near-links")
-
-    stars = connected_components(links) if not links.isEmpty() else links
-    roots = nodes.select("node", "least").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    roots = materialize(roots.select("node", "least", F.coalesce("root", "node").alias("root")), "near-roots")
-    named = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_w_root"), "near-names")
-    named = roots.join(named, F.col("root") == F.col("_w_root")).select(F.col("node").alias("_w_node"), "component_id")
-    named = materialize(named, "near-components")
+    with Scope(docs.sparkSession) as scope:
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+        signed = scope.keep(materialize(map_arrow(rows, _sign(k), "doc_id long, n_shingles long, node binary, regs binary"), "near-signatures"))
+        some = signed.where("node IS NOT NULL")
+        nodes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+        nodes = materialize(nodes, "near-classes")
+
+        banded = materialize(map_arrow(nodes.select("node", "regs"), _bands, "key long, band byte, node binary"), "near-bands")
+        shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "_w_key"), "near-buckets")
+        chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+        met = materialize(
+            banded.join(shared, F.col("key") == F.col("_w_key")).select("key", "band", "node", chunks.alias("chunks")), "near-members"
+        )
+        own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        dealt = (
+            met.join(nodes.select(F.col("node").alias("_w_node"), "regs", "n_shingles"), F.col("node") == F.col("_w_node"))
+            .withColumn("chunk", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("key", "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n_shingles", "regs")
+        )
+        order = ["key", "band", "lo", "hi"]
+        shape = "key long, band byte, lo int, hi int, chunk int, node binary, n_shingles long, regs binary"
+        dealt = dealt.repartition(*order).sortWithinPartitions(*order)
+        flagged = materialize(map_arrow(dealt, _flag(percent), shape), "near-candidates")
+        scope.discard(nodes, flagged)
+
+        wanted = flagged.select("node").distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("_w_least"))
+        wanted = materialize(wanted.select("_w_least").distinct(), "near-wanted")
+        texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_w_least")), "left_semi").select("text")
+        sets = map_arrow(texts, _sets(k), "node binary, shingles binary").dropDuplicates(["node"])
+        sets = materialize(sets.withColumnRenamed("node", "_w_node"), "near-sets")
+        full = flagged.join(sets, F.col("node") == F.col("_w_node")).drop("_w_node")
+        full = full.repartition(*order).sortWithinPartitions(*order)
+        links = materialize(map_arrow(full, _confirm(percent), "u binary, v binary"), "near-links")
+
+        scope.discard(nodes, links)
+        stars = connected_components(links) if not links.isEmpty() else links
+        roots = nodes.select("node", "least").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+        roots = materialize(roots.select("node", "least", F.coalesce("root", "node").alias("root")), "near-roots")
+        named = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_w_root"), "near-names")
+        named = roots.join(named, F.col("root") == F.col("_w_root")).select(F.col("node").alias("_w_node"), "component_id")
+        named = scope.keep(materialize(named, "near-components"))
     out = some.join(named, F.col("node") == F.col("_w_node")).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -279,6 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, doc_id: str
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document stays."""
-    stays = near_duplicates(docs, k, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_w_id")).distinct()
-    stays = materialize(stays, "near-stays")
+    with Scope(docs.sparkSession) as scope:
+        stays = near_duplicates(docs, k, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_w_id")).distinct()
+        stays = scope.keep(materialize(stays, "near-stays"))
     return docs.join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("_w_id")), "left_semi")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from waymark.llm.common import map_arrow, materialize
+from waymark.llm.common import Scope, map_arrow, materialize
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -123,10 +123,11 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
 
     Rows that repeat an id, source and size are told apart no further: each is taken as often as the one taken most.
     """
-    times = mix(docs, doc_id=doc_id, source=source, text=text, **options).where("epochs > 0").groupBy(
-        F.col("doc_id").alias("_w_id"), F.col("source").alias("_w_source"), F.col("n_bytes").alias("_w_bytes")
-    )
-    times = materialize(times.agg(F.max("epochs").alias("_w_times")), "mix-times")
+    with Scope(docs.sparkSession) as scope:
+        times = mix(docs, doc_id=doc_id, source=source, text=text, **options).where("epochs > 0").groupBy(
+            F.col("doc_id").alias("_w_id"), F.col("source").alias("_w_source"), F.col("n_bytes").alias("_w_bytes")
+        )
+        times = scope.keep(materialize(times.agg(F.max("epochs").alias("_w_times")), "mix-times"))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_w_id")) & F.col(source).eqNullSafe(F.col("_w_source")) & (F.col("_w_size") == F.col("_w_bytes"))
     taken = docs.withColumn("_w_size", size).join(times, same).withColumn("_w_n", F.explode(F.sequence(F.lit(1), F.col("_w_times").cast("int"))))

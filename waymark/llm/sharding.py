@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import materialize, salted_row_number
+from waymark.llm.common import Scope, materialize, salted_row_number
 
 ROW_OVERHEAD = 16
 SHARDS = 40
@@ -206,17 +206,18 @@ def shard_groups(rows: DataFrame, group: str, size: str, shards: int | None = No
 def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its shard and its gapless slot there; equal texts share a shard."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keys = materialize(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"),
-            F.crc32(body.cast("binary")).alias("text_crc32"),
-            F.unhex(F.sha2(body, 256)).alias("digest"),
-        ),
-        "shard-keys",
-    )
-    bins = materialize(shard_groups(keys, "digest", "size", shards), "shard-bins")
-    placed = materialize(keys.join(bins, "digest"), "shard-rows")
+    with Scope(docs.sparkSession) as scope:
+        keys = materialize(
+            docs.select(
+                F.col(doc_id).alias("doc_id"),
+                (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"),
+                F.crc32(body.cast("binary")).alias("text_crc32"),
+                F.unhex(F.sha2(body, 256)).alias("digest"),
+            ),
+            "shard-keys",
+        )
+        bins = materialize(shard_groups(keys, "digest", "size", shards), "shard-bins")
+        placed = scope.keep(materialize(keys.join(bins, "digest"), "shard-rows"))
     parts = max(8, placed.count() // (ROWS_A_TASK * shards))
     out = salted_row_number(placed, "shard", F.xxhash64("doc_id"), [F.col("doc_id"), F.col("digest")], "slot", parts)
     return out.select(
