@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from waymark.runtime import Scope, delete_path, materialize, release, scratch_path, shared_dir, ship
@@ -13,10 +17,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _give_back() -> None:
+    """Return what a task has freed to the system: workers live on, and their next task may be of another kind."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     """mapInArrow after the package has been sent to the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def salted_row_number(df: DataFrame, key: str, salt: Column, order: list[Column], out: str, parts: int) -> DataFrame:

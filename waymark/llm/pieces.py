@@ -26,7 +26,7 @@ import numpy as np
 
 SPACE = "▁"
 #: Distinct segments that a worker keeps; beyond that it starts anew.
-CACHE = 700_000
+CACHE = 350_000
 #: Longer segments are encoded each time and not kept.
 KEEP_CHARS = 64
 #: Symbol number of a character outside the vocabulary, less its code point.
