@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waymark.llm.common import materialize, scratch_path
+from waymark.llm.common import Scope, materialize, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -25,6 +25,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # an executor holds many partitions' stores, and each takes an eighth of its write buffer at once
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
@@ -83,30 +86,34 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sh
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
-    keyed = rows.select(
-        "doc_id", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256"), F.input_file_name().alias("locator")
-    )
-    keys = materialize(keyed, "dedup-keys")
-    if keys.isEmpty():
-        return keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    own = state_session(spark)
-    out = scratch_path(spark, "dedup-state")
-    stream = own.readStream.schema(keys.schema).parquet(keys.inputFiles()[0].rsplit("/", 1)[0])
-    run_state(stream, out, scratch_path(spark, "dedup-checkpoint")).awaitTermination()
-    state = materialize(latest(spark, out), "dedup-latest")
-    groups = state.select("digest", "keep_id", "group_size")
-
-    # full bytes on hits
-    hits = state.where("group_size > 1").select(F.col("digest").alias("_w_d"))
-    found = materialize(rows.withColumn("digest", digest(F.col("text"))).join(hits, F.col("digest") == F.col("_w_d"), "left_semi"), "dedup-hits")
-    stays = state.where("group_size > 1").select(F.col("digest").alias("_w_d"), F.col("keep_id").alias("_w_k"))
-    kept = found.join(stays, (F.col("digest") == F.col("_w_d")) & F.col("doc_id").eqNullSafe(F.col("_w_k")), "left_semi")
-    kept = kept.select(F.col("digest").alias("_w_d"), F.col("text").alias("_w_t")).dropDuplicates(["_w_d"])
-    kept = materialize(kept, "dedup-kept")
-    differ = found.join(kept, (F.col("digest") == F.col("_w_d")) & (F.col("text") != F.col("_w_t"))).select("digest")
-    mixed = materialize(differ.distinct(), "dedup-mixed")
+    with Scope(spark) as scope:
+        keyed = rows.select(
+            "doc_id", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256"), F.input_file_name().alias("locator")
+        )
+        keys = scope.keep(materialize(keyed, "dedup-keys"))
+        if keys.isEmpty():
+            return keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        own = state_session(spark)
+        out = scratch_path(spark, "dedup-state")
+        stream = own.readStream.schema(keys.schema).parquet(keys.inputFiles()[0].rsplit("/", 1)[0])
+        run_state(stream, out, scratch_path(spark, "dedup-checkpoint")).awaitTermination()
+        state = scope.keep(materialize(latest(spark, out), "dedup-latest"))
+        groups = state.select("digest", "keep_id", "group_size")
+
+        # full bytes on hits
+        hits = state.where("group_size > 1").select(F.col("digest").alias("_w_d"))
+        found = materialize(rows.withColumn("digest", digest(F.col("text"))).join(hits, F.col("digest") == F.col("_w_d"), "left_semi"), "dedup-hits")
+        stays = state.where("group_size > 1").select(F.col("digest").alias("_w_d"), F.col("keep_id").alias("_w_k"))
+        kept = found.join(stays, (F.col("digest") == F.col("_w_d")) & F.col("doc_id").eqNullSafe(F.col("_w_k")), "left_semi")
+        kept = kept.select(F.col("digest").alias("_w_d"), F.col("text").alias("_w_t")).dropDuplicates(["_w_d"])
+        kept = materialize(kept, "dedup-kept")
+        differ = found.join(kept, (F.col("digest") == F.col("_w_d")) & (F.col("text") != F.col("_w_t"))).select("digest")
+        mixed = scope.keep(materialize(differ.distinct(), "dedup-mixed"))
+        clash = not mixed.isEmpty()
+        if clash:
+            scope.keep(found)
     joined = keys.withColumnRenamed("digest", "_w_digest")
-    if not mixed.isEmpty():
+    if clash:
         mixed_rows = found.join(mixed, "digest", "left_semi").withColumn("digest", F.concat("digest", F.lit("|"), F.base64(F.encode("text", "UTF-8"))))
         exact = mixed_rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         groups = materialize(groups.join(mixed, "digest", "left_anti").unionByName(exact), "dedup-exact")
@@ -126,13 +133,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sh
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each text, the one with the largest identifier, and all its columns."""
-    verdict = dedup(docs, doc_id, text)
-    stays = materialize(
-        verdict.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_w_times")).select(
-            F.col("doc_id").alias("_w_id"), F.col("text_sha256").alias("_w_sha"), "_w_times"
-        ),
-        "dedup-stays",
-    )
+    with Scope(docs.sparkSession) as scope:
+        kept = dedup(docs, doc_id, text).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_w_times"))
+        stays = kept.select(F.col("doc_id").alias("_w_id"), F.col("text_sha256").alias("_w_sha"), "_w_times")
+        stays = scope.keep(materialize(stays, "dedup-stays"))
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     out = docs.withColumn("_w_s", sha).join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("_w_id")) & (F.col("_w_s") == F.col("_w_sha")))
     if not stays.where("_w_times > 1").isEmpty():  # the same identifier and text more than once
