@@ -38,15 +38,23 @@ def reverse(points: DataFrame, gaz: Gazetteer, k: int = 3, cells: DataFrame | No
     points = points.select("point_id", F.when(ok, F.col("lat")).otherwise(F.raise_error(F.lit("coordinates out of range"))).alias("lat"), "lon")
     around = points.select("point_id", "lat", "lon", F.explode(F.array_distinct(geo.cells_around(F.col("lat"), F.col("lon"), RINGS[-1]))).alias("near"))
     around = around.select("point_id", "lat", "lon", "near.cell", "near.ring").join(cells.select("cell", "n_streets"), "cell")
+    # a number of its own: rows are few bytes, but each stands for hundreds of distances, so small partitions are not merged
+    around = around.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point_id")
     w = W.partitionBy("point_id")
     ring = F.lit(RINGS[-1])
     for r in reversed(RINGS[:-1]):
         ring = F.when(F.sum(F.when(F.col("ring") <= r, F.col("n_streets")).otherwise(0)).over(w) >= ENOUGH, r).otherwise(ring)
     around = around.withColumn("most", ring).where(F.col("ring") <= F.col("most")).select("point_id", "lat", "lon", "cell")
-    deg = lambda s, c: s[c] / 1e7
+    around = around.withColumn("_w_cos", F.greatest(F.cos(F.radians("lat")), F.lit(0.01)))
+
+    def distance(s):
+        dx = (s["lon_e7"] / 1e7 - F.col("lon")) * 111_320.0 * F.col("_w_cos")
+        dy = (s["lat_e7"] / 1e7 - F.col("lat")) * 111_320.0
+        # to the micrometre, without the decimals that round() goes through
+        return F.floor(F.sqrt(dx * dx + dy * dy) * 1e6 + F.lit(0.5)) / 1e6
 
     def nearest(h):
-        spots = F.transform(h["spots"], lambda s: F.struct(F.round(geo.flat_metres(F.col("lat"), F.col("lon"), deg(s, "lat_e7"), deg(s, "lon_e7")), 6).alias("dist"), s["lon_e7"].alias("lon_e7"), s["lat_e7"].alias("lat_e7"), s["postcode"].alias("postcode")))
+        spots = F.transform(h["spots"], lambda s: F.struct(distance(s).alias("dist"), s["lon_e7"].alias("lon_e7"), s["lat_e7"].alias("lat_e7"), s["postcode"].alias("postcode")))
         return F.struct(F.array_min(spots).alias("b"), h["street_norm"].alias("street_norm"), h["code"].alias("code"), h["numero"].alias("numero"), h["rep"].alias("rep"))
 
     best = F.slice(F.array_sort(F.transform("block", nearest)), 1, k)  # a cell's own nearest k are enough

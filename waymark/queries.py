@@ -626,7 +626,7 @@ d AS (SELECT unnest(range(-4, 5)) AS dr), near_ AS (SELECT p.point_id, p.lat, p.
 w AS (SELECT *, count(*) FILTER (ring <= 1) OVER (PARTITION BY point_id) AS n1, count(*) FILTER (ring <= 2) OVER (PARTITION BY point_id) AS n2 FROM near_),
 u AS (SELECT * FROM w WHERE ring <= CASE WHEN n1 >= 3 THEN 1 WHEN n2 >= 3 THEN 2 ELSE 4 END),
 h AS (SELECT u.point_id, u.street_norm, u.code, u.street, u.commune, u.pc_ambiguous, u.postcode AS s_pc, h.numero, h.rep, h.postcode, h.lat_e7 AS hy, h.lon_e7 AS hx,
-   round(sqrt(((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) * ((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) + ((h.lat_e7 / 1e7 - u.lat) * 111320.0) * ((h.lat_e7 / 1e7 - u.lat) * 111320.0)), 6) AS dist
+   floor(sqrt(((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) * ((h.lon_e7 / 1e7 - u.lon) * 111320.0 * greatest(cos(radians(u.lat)), 0.01)) + ((h.lat_e7 / 1e7 - u.lat) * 111320.0) * ((h.lat_e7 / 1e7 - u.lat) * 111320.0)) * 1e6 + 0.5) / 1e6 AS dist
    FROM u JOIN houses h USING (street_norm, code)),
 o AS (SELECT *, row_number() OVER (PARTITION BY point_id, street_norm, code, numero, rep ORDER BY dist, hx, hy, postcode) AS dup FROM h),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY dist, hx, hy, street_norm, code, numero, rep) AS INTEGER) AS rank FROM o WHERE dup = 1)
