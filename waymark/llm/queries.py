@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from waymark.llm.common import read_table
 from waymark.llm.exact_dedup import dedup
 from waymark.llm.mixing import MIX_SQL, mix
+from waymark.llm.licenses import scan
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.sharding import shard_documents
 from waymark.llm.suffix_dedup import remove_repeats
@@ -31,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
