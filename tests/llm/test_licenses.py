@@ -1,4 +1,6 @@
-from waymark.llm.licenses import KNOWN, scan
+import duckdb
+
+from waymark.llm.licenses import KNOWN, licenses_sql, scan
 
 
 def test_scan(spark):
@@ -7,3 +9,27 @@ def test_scan(spark):
     got = [(r.doc_id, r.license) for r in scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")).collect()]
     assert sorted(got, key=str) == sorted([(1, "ISC"), (2, "ISC"), (3, None), (4, None), (5, None), (None, "ISC"), (1, "ISC")], key=str)
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def names(spark, rows):
+    return dict(scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", "license").collect())
+
+
+def test_known_texts(spark):
+    usual = {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "ISC", "Zlib", "Unlicense", "CC0-1.0"}
+    assert usual <= KNOWN.keys()
+    rows = [(n, how(t)) for n, t in KNOWN.items() for how in (str, str.upper)]
+    got = names(spark, [t for _, t in rows])
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+    bsd = KNOWN["BSD-3-Clause"].replace("the University nor", "Foo, Inc. nor").replace("THE REGENTS AND CONTRIBUTORS", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS").replace("THE REGENTS OR", "FOO OR")
+    more = ["The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + KNOWN["MIT"], bsd, KNOWN["Apache-2.0"].split("END OF TERMS")[0], KNOWN["MIT"].replace("notice shall", "notice shall not"), KNOWN["MIT"] * 2]
+    assert list(names(spark, more).values()) == ["MIT", "BSD-3-Clause", "Apache-2.0", None, None]
+
+
+def test_sql(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", "©", "Ünïcode licence (c) x", *KNOWN.values()])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    ours = [tuple(r) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(ours) == sorted(con.execute(licenses_sql()).fetchall())

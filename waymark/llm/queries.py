@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from waymark.llm.common import read_table
 from waymark.llm.exact_dedup import dedup
 from waymark.llm.mixing import MIX_SQL, mix
-from waymark.llm.licenses import scan
+from waymark.llm.licenses import licenses_sql, scan
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.sharding import shard_documents
 from waymark.llm.suffix_dedup import remove_repeats
@@ -76,6 +76,7 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """,
+    "op5_licenses": licenses_sql(),
     "op8_mixing": MIX_SQL,
     "op9_topk": TOPK_SQL,
 }
