@@ -1,7 +1,14 @@
+import textwrap
+
 import duckdb
 
 from waymark.llm.licenses import KNOWN, licenses_sql, scan
 
+NOTICES = [
+    "Copyright (c) 2020 A B", "(c) 2020 X", "© 2020 X", "Copyright Foo Inc. 2020", "Copyright: 2020 X", "Copyright (c)  2020", "Copyright 2019-2021 A, B and others.",
+    "COPYRIGHT © 2020 X. All rights reserved.", "Copyright The Foo Authors. All Rights Reserved.", "Copyright (C) [year] [fullname]",
+]
+
 
 def test_scan(spark):
     isc = KNOWN["ISC"]
@@ -18,7 +25,7 @@ def names(spark, rows):
 def test_known_texts(spark):
     usual = {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "ISC", "Zlib", "Unlicense", "CC0-1.0"}
     assert usual <= KNOWN.keys()
-    rows = [(n, how(t)) for n, t in KNOWN.items() for how in (str, str.upper)]
+    rows = [(n, how(t)) for n, t in KNOWN.items() for how in (str, lambda t: " ".join(t.split()), lambda t: "\n".join(textwrap.wrap(t, 61)), lambda t: t.replace("\n", "\r\n# "))]
     got = names(spark, [t for _, t in rows])
     assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
     bsd = KNOWN["BSD-3-Clause"].replace("the University nor", "Foo, Inc. nor").replace("THE REGENTS AND CONTRIBUTORS", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS").replace("THE REGENTS OR", "FOO OR")
@@ -27,9 +34,19 @@ def test_known_texts(spark):
 
 
 def test_sql(spark):
-    rows = [(i, t) for i, t in enumerate([None, "", "©", "Ünïcode licence (c) x", *KNOWN.values()])]
+    rows = [(i, t) for i, t in enumerate([None, "", "©", "Ünïcode licence (c) x", *NOTICES, *(n + "\n" + KNOWN["MIT"] for n in NOTICES), *(n + " " + KNOWN["ISC"] for n in NOTICES), *KNOWN.values()])]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     ours = [tuple(r) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(ours) == sorted(con.execute(licenses_sql()).fetchall())
+
+
+def test_notices(spark):
+    one = " ".join(KNOWN["MIT"].split())
+    rows = [n + "\n\n" + KNOWN["MIT"] for n in NOTICES] + [n + " " + one for n in NOTICES] + [n + "\r\n" + textwrap.fill(n + " " + one, 50) for n in NOTICES]
+    assert {k for k, v in names(spark, rows).items() if v != "MIT"} == set()
+    # a notice never takes the rest of a text with it
+    texts = ["Copyright (c) 2020 A " + w * 300 for w in ("x ", "y ")]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r.digest for r in got}) == 2

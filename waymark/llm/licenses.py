@@ -4,6 +4,11 @@ Canonical: letters are lowered, copyright notices go, all but letters and digits
 one, and the fields that a licence leaves open (who disclaims, whose name may not be used) hold one word.  Column
 functions only.
 
+A notice is "copyright" with a sign, a year or a place for one, a sign with a year, or at the start of a line
+"copyright" with a year or "all rights reserved" within 100 characters.  It ends before the first of the usual openings
+of a licence (OPENINGS) within 300 characters, else where its line ends within 200 characters, else with its years, so a
+text without line breaks loses its notice and no more.
+
 The known texts are the files of the folder ``known`` (TEXTS says how each may also be met: with a title, without an
 appendix, without numbers of its conditions).  GPL, LGPL and GFDL are named without "only" or "or later", which the
 text doesn't say.
@@ -31,8 +36,21 @@ SPELLINGS = {
     "per cent": "percent", "copyright holder": "copyright owner", "copyright holders": "copyright owners", "third parties": "thirdparties", "including the next paragraph": "",
 }
 
-NOTICE = r"(?:^|\n)[^\n]*copyright (?:\(c\)|[0-9]{4})[^\n]*()()()"
-NO_NOTICE: dict[str, str] = {}
+OPENINGS = (
+    "permission is|permission to use|redistribution and use|redistributions of|licensed under|everyone is permitted|everyone is allowed|"
+    r"this (?:program|library|software|font|work|file|license|package|product)|the software is|anyone is free|gnomovision comes|contributor\(s\)|notice to user"
+)
+_GAP, _YEAR = r"[ \t\n#*/;-]{1,9}", "(?:19|20)[0-9][0-9]"
+_OPENING = OPENINGS.replace(" ", _GAP)
+_SIGN = rf"(?:\(c\)|[<\[{{(]? ?(?:{_YEAR}|year|yyyy|dates?))"
+_REST = rf"(?:[\s\S]{{0,300}}?({_OPENING})|[^\n]{{0,200}}(?:\n|\z)|[0-9 ,-]{{0,99}})"
+# in lowered text, with three line feeds for each, so that a line's end and the next one's start can both be met
+NOTICE = (
+    rf"(?:copyright[ \t\n:,#*/;-]{{0,9}}{_SIGN}|\(c\)[ \t]{{0,9}}(?:copyright[ \t:,]{{0,9}})?{_YEAR}){_REST}|"
+    rf"(?:^|\n)[ \t#*/;-]{{0,9}}copyright[ \t:][^\n]{{1,100}}?(?:all rights reserved{_REST}|{_YEAR}[ \t.,;]{{0,9}}(?:\n|\z|({_OPENING})))"
+)
+# fixed values: what looks like a notice and is none
+NO_NOTICE = {"copyright treaty": "treaty", "copyright and permission notice": "permission notice"}
 # fixed values: the fields that licences leave open, in canonical words
 FIELDS = [
     (r"neither the names? of .{1,120}? nor the names of", "neither the name of holder nor the names of"),
