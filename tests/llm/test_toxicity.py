@@ -84,3 +84,20 @@ def test_terms():
     assert Model(base=0.1).score(["x"])[0] == 0.1
     m = Model.of(["bad", "wor*", "wor**"], 0.0)
     assert sorted(m.hits({"bad", "word"})[0]) == [0, 1] and sorted(m.hits({"word", "work"})[0]) == [1, 2] and m.hits({"wor"}) == ([], 0)
+
+
+def test_copies_leave_room_for_other_voters(spark):
+    docs, labels = make(1600)
+    rng = random.Random(5)
+    long = " ".join("q" + "".join(rng.choice("aeiourstln") for _ in range(9)) for _ in range(400))
+    marked = {i for i, y in labels if y}
+    for i in range(2000, 2000 + 2 * len(marked)):
+        docs.append((i, long, "x"))  # a third of the toxic texts and more are copies of one
+        labels.append((i, 1))
+    model = train(spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    others = [t for i, t, _ in docs if i in marked]
+    assert np.mean([bool(model.hits(set(t.lower().split()))[0]) for t in others]) > 0.95
+    # near copies: each has a word of its own, so all of their words stay significant
+    near = [(i, f"{t} z{i}q" if i >= 2000 else t, s) for i, t, s in docs]
+    model = train(spark.createDataFrame(near, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert np.mean([bool(model.hits(set(t.lower().split()))[0]) for t in others]) > 0.95

@@ -1,8 +1,8 @@
 """Toxicity scores by weak supervision.
 
 1. Voters.  From a bounded sample of labelled training rows, words (lexicon voters), word beginnings and beginnings
-   of two different words (pattern voters) that mark toxic texts are mined by a likelihood-ratio test.  They are
-   chosen one by one, each for the toxic texts that don't yet hold two chosen ones, so that words which toxic texts
+   of two different words (pattern voters) that mark toxic texts are mined by a likelihood-ratio test, in which copies of
+   a text count once.  From all that are significant, voters are chosen one by one, each for the toxic texts that don't yet hold two chosen ones, so that words which toxic texts
    only share because they are copies of each other stay out.  Some style voters and a voter for texts without any
    hit join them.  A voter votes or abstains.
 2. Label model.  A two-class generative model estimates how often each voter votes in either class, by expectation
@@ -34,7 +34,6 @@ from waymark.llm.tokens import slices
 
 TRAIN_ROWS = 20_000
 VOTERS = 96
-CANDIDATES = 600
 #: Of the likelihood-ratio statistic, for a mined voter: odds of about 10^-6 for a term that marks nothing.
 SIGNIFICANT = 24.0
 SUPPORT = 3
@@ -159,10 +158,10 @@ def evidence(a: float, b: float, toxic: int, clean: int, share: float = SHARE) -
     return g
 
 
-def candidates(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = CANDIDATES) -> list[str]:
-    """The terms that mark toxic texts best, from (term, toxic texts, clean texts)."""
+def candidates(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
+    """All terms that mark toxic texts significantly, the best first, from (term, toxic texts, clean texts)."""
     scored = sorted((-evidence(a, b, toxic, clean), -len(t.rstrip("*")), t) for t, a, b in counts)
-    return [t for g, _, t in scored[:most] if -g >= SIGNIFICANT]
+    return [t for g, _, t in scored if -g >= SIGNIFICANT]
 
 
 def choose(held: list[list[int]], marked: list[bool], terms: list[str], most: int = VOTERS) -> list[int]:
@@ -174,17 +173,20 @@ def choose(held: list[list[int]], marked: list[bool], terms: list[str], most: in
     open_ = set(range(len(terms)))
     toxic = [set(h) for h, y in zip(held, marked, strict=True) if y]
     clean = Counter(i for h, y in zip(held, marked, strict=True) if not y for i in set(h))
+    counts = Counter(i for h in toxic for i in h)  # of the texts that still need some
     n_clean, need, chosen = len(marked) - len(toxic), [2] * len(toxic), []
     while len(chosen) < most:
-        left = [h for h, k in zip(toxic, need, strict=True) if k]
-        counts = Counter(i for h in left for i in h)
         best = max(((evidence(counts[i], clean[i], len(toxic), n_clean, 0.0), -i) for i in open_), default=(0, 0))
         if best[0] < SIGNIFICANT:
             break
         chosen.append(-best[1])
         stem = stems[-best[1]]
         open_ = {i for i in open_ if not (stems[i].startswith(stem) or stem.startswith(stems[i]))}
-        need = [k - 1 if k and -best[1] in h else k for h, k in zip(toxic, need, strict=True)]
+        for n, h in enumerate(toxic):
+            if need[n] and -best[1] in h:
+                need[n] -= 1
+                if not need[n]:
+                    counts.subtract(h)
     return chosen
 
 
@@ -265,6 +267,12 @@ def _train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int
     if not toxic or not clean:
         return model
 
+    single = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-single")  # copies tell nothing twice
+    sizes = {r[0]: r[1] for r in single.groupBy((F.col("toxic") > 0).alias("y")).count().collect()}
+    toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not clean:
+        return model
+
     def mine(batches):
         both = Counter(), Counter()
         for b in batches:
@@ -281,10 +289,12 @@ def _train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int
             [pa.array(terms, pa.string()), pa.array([t[x] for x in terms], pa.int64()), pa.array([c[x] for x in terms], pa.int64())], ["term", "a", "b"]
         )
 
-    counts = map_arrow(sample, mine, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    strong = counts.where((F.col("a") >= SUPPORT) & ((F.col("a") + 0.5) * (clean + 1) >= (F.col("b") + 0.5) * 5 * (toxic + 1)))
-    strong = strong.orderBy(F.desc(F.col("a") / (F.col("b") + 1.0)), "term").limit(20 * CANDIDATES)
-    terms = candidates([tuple(r) for r in strong.collect()], toxic, clean)
+    counts = map_arrow(single, mine, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    strong = counts.where(
+        (F.col("a") >= max(SUPPORT, SHARE * toxic)) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b")))
+        & ((F.col("a") + 0.5) * (clean + 1) >= (F.col("b") + 0.5) * 5 * (toxic + 1))
+    )
+    terms = candidates([tuple(r) for r in strong.collect()], toxic, clean)  # each in a share of the toxic texts: at most terms of a text / SHARE
     first = Model.of(terms, model.base)
 
     def hold(batches):
@@ -292,7 +302,7 @@ def _train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int
             got = [sorted(first.hits(words_of(t))[0]) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), pa.array([y > 0 for y in b.column(1).to_pylist()])], ["held", "marked"])
 
-    known = map_arrow(sample, hold, "held array<int>, marked boolean").toArrow()  # at most ``rows`` rows
+    known = map_arrow(single, hold, "held array<int>, marked boolean").toArrow()  # at most ``rows`` rows
     chosen = choose(known.column(0).to_pylist(), known.column(1).to_pylist(), terms)
     model = Model.of([terms[i] for i in chosen], model.base)
 
