@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from waymark.llm.toxicity import Model, candidates, choose, keep_clean, label_model, logistic, score_documents, train
+from waymark.llm.toxicity import Model, candidates, choose, keep_clean, label_model, logistic, score_documents, styles, train
 
 
 def make(n, seed=1):
@@ -101,3 +101,10 @@ def test_copies_leave_room_for_other_voters(spark):
     near = [(i, f"{t} z{i}q" if i >= 2000 else t, s) for i, t, s in docs]
     model = train(spark.createDataFrame(near, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert np.mean([bool(model.hits(set(t.lower().split()))[0]) for t in others]) > 0.95
+
+
+def test_capitals_of_whole_texts():
+    for n in (10, 4100, 7000, 7990, 8000, 9001, 20000):
+        few, many = ("AAAbbbbbbb" * n)[:n], ("bAAAAAAbbA" * n)[:n]
+        assert [styles(t, {"x"})[1] for t in (few, many, "b" * 4000 + "A" * n, "bA" * n)] == [False, True, n > 4000, False]
+    assert not styles("", set())[1]

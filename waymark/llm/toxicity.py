@@ -80,8 +80,8 @@ def terms_of(words: set[str]) -> set[str]:
 
 def styles(text: str, words: set[str]) -> list[bool]:
     n = max(1, len(words))
-    letters = sum(map(str.isupper, text[:: max(1, len(text) // 4000)]))
-    return [text.count("!") > n / 5, letters * 2 > min(len(text), 4000) > 0, text.count("?") > n / 5]
+    capitals = sum(map(str.isupper, text))
+    return [text.count("!") > n / 5, capitals * 2 > len(text), text.count("?") > n / 5]
 
 
 @dataclass
