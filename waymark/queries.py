@@ -320,6 +320,12 @@ def anti_not_in(spark, sf_dir):
     return canon.new_names(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 5 = 1").select(F.upper("nm").alias("nm")))
 
 
+@query("anti_not_in_whole", "SELECT p_partkey, p_name AS nm FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 5 = 1 AND p_name IS NOT NULL)")
+def anti_not_in_whole(spark, sf_dir):
+    part = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("nm"))
+    return canon.new_names(part, part.where("p_partkey % 5 = 1").select(F.upper("nm").alias("nm")))
+
+
 @query("anti_not_exists_like", """
 WITH a AS (SELECT p_partkey, p_size AS number, p_name AS name FROM part WHERE p_partkey % 2 = 0), k AS (SELECT DISTINCT p_size AS number, split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 7 = 1)
 SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.number = a.number AND (k.name LIKE '%' || a.name || '%' OR a.name LIKE '%' || k.name || '%'))""")
@@ -329,6 +335,14 @@ def anti_not_exists_like(spark, sf_dir):
     return canon.gaps(part.where("p_partkey % 2 = 0"), known)
 
 
+@query("anti_not_exists_like_whole", """
+WITH a AS (SELECT p_partkey, p_size AS number, p_name AS name FROM part), k AS (SELECT DISTINCT p_size AS number, split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 7 = 1)
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.number = a.number AND (k.name LIKE '%' || a.name || '%' OR a.name LIKE '%' || k.name || '%'))""")
+def anti_not_exists_like_whole(spark, sf_dir):
+    part = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("number"), F.col("p_name").alias("name"))
+    return canon.gaps(part, part.where("p_partkey % 7 = 1").select("number", F.substring_index("name", " ", 1).alias("name")))
+
+
 @query("name_stitching", f"""
 WITH {X.ADDRESSES}, al AS (SELECT DISTINCT street_norm, 'Улица ' || split_part(street, ' ', 2) AS variant, CAST(round(lat * 3) AS BIGINT) AS a, CAST(round(lon * 3) AS BIGINT) AS b FROM addresses WHERE part % 3 = 0)
 SELECT DISTINCT x.part, al.variant FROM addresses x JOIN al ON al.street_norm = x.street_norm AND abs(CAST(round(x.lat * 3) AS BIGINT) - al.a) <= 1 AND abs(CAST(round(x.lon * 3) AS BIGINT) - al.b) <= 1""")
@@ -353,6 +367,12 @@ def semi_referenced(spark, sf_dir):
     return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).join(refs, "id", "left_semi")
 
 
+@query("semi_referenced_whole", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def semi_referenced_whole(spark, sf_dir):
+    refs = X.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+    return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).join(refs, "id", "left_semi")
+
+
 @query("way_centroids", f"""
 WITH {_WAYS}, u AS (SELECT id, unnest(refs) AS ref FROM ways), pts AS (SELECT u.id, CAST(p_size + 40.0 AS DOUBLE) AS lat, CAST(p_partkey % 89 AS DOUBLE) AS lon FROM u JOIN part ON p_partkey = ref)
 SELECT id, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(median(lat), 6) AS mid_lat, round(median(lon), 6) AS mid_lon FROM pts GROUP BY id""")
@@ -746,6 +766,15 @@ def filled_counts(spark, sf_dir):
     return E.filled_counts(o.select(F.col("o_orderpriority").alias("p"), F.col("n_name").alias("nm")), "p", "nm")
 
 
+@query("filled_counts_whole", """
+WITH o AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, n_name AS nm, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+x AS (SELECT DISTINCT d FROM o), y AS (SELECT DISTINCT nm FROM o) SELECT d, nm, coalesce(n, 0) AS n FROM x CROSS JOIN y LEFT JOIN o USING (d, nm)""")
+def filled_counts_whole(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders").join(X.table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = o.join(X.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return E.filled_counts(o.select(F.col("o_orderdate").cast("date").cast("string").alias("d"), F.col("n_name").alias("nm")), "d", "nm")
+
+
 @query("id_digest", "SELECT o_orderstatus AS g, sha256(array_to_string(list_sort(list(CAST(o_orderkey AS VARCHAR))), chr(10)) || chr(10)) AS digest, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def id_digest(spark, sf_dir):
     return E.id_digest(X.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("g"), "o_orderkey"), "g", "o_orderkey")
