@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of the ids and of what they decode to."""
-    return encode_documents(docs, default_model(), keep=True).drop("decoded")
+    return encode_documents(docs, default_model(), keep=("ids",))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("minhash", near), ("mixing", mixture), ("sentencepiece", encode)]

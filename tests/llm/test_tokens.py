@@ -60,6 +60,38 @@ def test_frames(spark, lib):
     n = count_tokens(df, default_model(), limit=100).collect()
     assert len(n) == len(rows) and {(r.doc_id, r.n_tokens) for r in n if r.doc_id not in (None, 1)} == {(i, len(lib.encode(t))) for i, t in enumerate(texts()) if i != 1}
     assert sum(r.doc_id == 1 and r.n_tokens == 0 and not r.over_limit for r in n) == 2
-    kept = encode_documents(df.where("doc_id = 3"), default_model(), keep=True).first()
+    kept = encode_documents(df.where("doc_id = 3"), default_model(), keep=("ids", "decoded")).first()
     assert kept.decoded == "a" and kept.ids[0] == 1
     assert encode_documents(df.where("false"), default_model()).count() == 0
+    assert count_tokens(df.where("false"), default_model()).count() == 0
+
+
+def test_long_segments_are_checked(lib):
+    p = Pieces(model_bytes(default_model()))
+    for n in (63, 64, 65, 1000, 30_000):
+        for t in ("日本語" * n, "ab" * n, "x " + "é" * n + "\n" + "q" * n):
+            assert struct.unpack(f"<{len(p.encode_batch([t])[0]) // 4}I", p.encode_batch([t])[0]) == tuple(lib.encode(t))
+            assert Counter(p).count_batch([t]) == [len(lib.encode(t))]
+    long = "z" * 100
+    p.merge = list  # an agenda that joins nothing
+    with pytest.raises(ValueError, match="differ"):
+        p.encode_batch([long])
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr("waymark.llm.pieces.CACHE_BYTES", 20_000)
+    p = Pieces(model_bytes(default_model()))
+    words = [f"w{i}" for i in range(3000)]
+    once = p.encode_batch(words)
+    for i in range(0, 3000, 100):
+        assert p.encode_batch(words[i : i + 100]) == once[i : i + 100]
+        assert p.cache.bytes < 20_000 + 100 * 250
+
+
+def test_vocabulary_without_a_lone_line_feed_is_checked_on_whole_texts():
+    p = Pieces(model_bytes(default_model()))
+    p.alone = ""
+    p.encode_batch(["plain text", ""])
+    p.merge = list
+    with pytest.raises(ValueError, match="differ"):
+        p.encode_batch(["z" * 100])

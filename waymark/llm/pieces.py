@@ -7,13 +7,16 @@ outside the vocabulary become byte pieces.
 
 No piece holds U+2581 after another character, and some characters (such as the line feed) are in no longer
 piece, so joins never cross those places.  A text therefore falls into segments that encode alone, and segments
-repeat: the agenda runs once for each distinct segment of a worker's bounded cache, and each new segment is
-checked against the library, one call an Arrow batch.  Whole texts are always encoded.
+repeat: the agenda runs once for each distinct segment of a worker's cache, which is bounded by bytes, and each
+new segment of any length is checked against the library, one call an Arrow batch.  Where the vocabulary has no
+line feed that stands alone, whole texts are checked instead.  Whole texts are always encoded.
 
 The agendas of a batch's new segments run in step: segments of one length are rows of a matrix, each round takes
-every row's best pair, joins it and ranks the two pairs that it changed.  Long segments have an agenda each.
+every row's best pair, joins it and ranks the two pairs that it changed.  Long segments have an agenda each, and
+are kept no longer than their batch.
 
-Defined cases: null counts as empty; an empty text has no pieces (begin and end ids remain where asked for).
+Defined cases: null counts as empty; an empty text has no pieces (begin and end ids remain where asked for); a model
+whose normaliser changes texts, or whose pieces hold a space after other characters, is refused.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ import re
 import numpy as np
 
 SPACE = "▁"
-#: Distinct segments that a worker keeps; beyond that it starts anew.
-CACHE = 350_000
-#: Longer segments are encoded each time and not kept.
-KEEP_CHARS = 64
+#: Bytes that a worker's kept segments take, about; beyond that it starts anew.
+CACHE_BYTES = 48_000_000
+#: Of a kept segment beside its characters and ids: a place in a table and the heads of two objects.
+ENTRY_BYTES = 190
+#: Longer segments have an agenda of their own and are kept for their batch only.
+IN_STEP_CHARS = 64
+#: Texts that a normaliser other than the identity would change.
+PROBES = ("\ufb01 \uff21 a\u0301  b", " x ", "a\nb\tc\u3000d\u200b")
 #: Symbol number of a character outside the vocabulary, less its code point.
 OUTSIDE = 1 << 20
 NONE = np.iinfo(np.int32).max
@@ -77,14 +84,20 @@ class PairTable:
 
 
 class _Cache(dict):
-    """Segments that were not learnt (the long ones) are encoded when they are asked for."""
+    """Segments and what was made of them, with the bytes that they take."""
 
-    def __init__(self, encode, *start):
-        super().__init__(*start)
-        self.encode = encode
+    def __init__(self):
+        super().__init__()
+        self.bytes = 0
 
-    def __missing__(self, segment: str):
-        return self.encode(segment)
+    def learn(self, segments: list[str], made: list) -> None:
+        self.update(zip(segments, made, strict=True))
+        self.bytes += sum(map(len, segments)) * 5 + ENTRY_BYTES * len(segments)  # at most 4 bytes of ids a character and 1 of its own, mostly
+
+    def make_room(self) -> None:
+        if self.bytes > CACHE_BYTES:
+            self.clear()
+            self.bytes = 0
 
 
 class Pieces:
@@ -96,6 +109,8 @@ class Pieces:
         self.lib = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.bos, self.eos, self.unk, self.check = sp.bos_id(), sp.eos_id(), sp.unk_id(), check
+        if any(sp.normalize(t) != SPACE + t.replace(" ", SPACE) for t in PROBES):
+            raise ValueError("the model's normaliser changes texts")
         names = [sp.id_to_piece(i) for i in range(n)]
         self.byte_id, self.rank, self.id, self.raw = {}, {}, {}, [b""] * n
         scored = []
@@ -117,7 +132,7 @@ class Pieces:
         self.alone = "".join(c for c in "\n\t" if c not in joined)
         alone = re.escape(self.alone)
         self.segment = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
-        self.cache = _Cache(self.bytes_of)
+        self.cache = _Cache()
         self.table = self._table()
         self.char = np.arange(OUTSIDE, OUTSIDE + 0x110000, dtype=np.int32)
         for p, i in self.id.items():
@@ -234,15 +249,21 @@ class Pieces:
             for ids, s, l in zip(got, segments, lead, strict=True)
         ]
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Fill the cache with the distinct segments of a batch, checking the new ones against the library."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = [s for s in set().union(*texts) if s not in self.cache and len(s) <= KEEP_CHARS]
-        self.cache.update(zip(new, self.checked(new), strict=True))
+    def learn(self, texts: list[list[str]], cache: _Cache, make) -> dict:
+        """Whatever ``make`` returns for the distinct segments of a batch; what is long is not kept in ``cache``."""
+        cache.make_room()
+        new = [s for s in set().union(*texts) if s not in cache]
+        short = [s for s in new if len(s) <= IN_STEP_CHARS]
+        cache.learn(short, make(self.checked(short)))
+        long = [s for s in new if len(s) > IN_STEP_CHARS]
+        return dict(zip(long, make(self.checked(long)), strict=True)) if long else {}
 
     def checked(self, segments: list[str]) -> list[bytes]:
-        ids = self.bytes_of_many(segments)
+        """Ids of each segment, compared with the library's where segments can stand alone there."""
+        if segments and len(segments[0]) > IN_STEP_CHARS:
+            ids = [self.bytes_of(s) for s in segments]
+        else:
+            ids = self.bytes_of_many(segments)
         if self.check and segments and "\n" in self.alone:
             theirs = self.library(segments)
             flat = np.fromiter(itertools.chain.from_iterable(theirs), "<u4")
@@ -252,12 +273,24 @@ class Pieces:
         return ids
 
     def encode_batch(self, texts: list[str], bos: bool = False, eos: bool = False) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.segments(t) for t in texts]
-        self.learn(cut)
+        """Ids of each text as little-endian unsigned 32-bit integers; equal texts share one object."""
+        distinct = list(dict.fromkeys(texts))
+        cut = [self.segments(t) for t in distinct]
+        long = self.learn(cut, self.cache, lambda ids: ids)
         head = self.bos.to_bytes(4, "little") if bos else b""
         tail = self.eos.to_bytes(4, "little") if eos else b""
-        return [head + b"".join(map(self.cache.__getitem__, c)) + tail for c in cut]
+        find = self.cache.__getitem__ if not long else lambda s: long[s] if s in long else self.cache[s]
+        got = {}
+        for t, c in zip(distinct, cut, strict=True):
+            body = b"".join(map(find, c))
+            self.check_whole(t, body)
+            got[t] = head + body + tail
+        return [got[t] for t in texts]
+
+    def check_whole(self, text: str, ids: bytes) -> None:
+        """The check of a text in one, for vocabularies whose segments can't stand alone in the library."""
+        if self.check and "\n" not in self.alone and np.frombuffer(ids, "<u4").tolist() != self.lib.encode(text):
+            raise ValueError(f"agenda and library differ on {text[:200]!r}")
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the decoded text: control ids vanish, one leading space goes, bad byte runs become U+FFFD."""
@@ -307,13 +340,18 @@ class Counter:
         self.pieces = pieces
         alone = [p for p in pieces.id if pieces.segment.findall(p) == [p]]
         self.single = {p: 1 for p, ids in zip(alone, pieces.bytes_of_many(alone), strict=True) if len(ids) == 4}
-        self.known = _Cache(lambda s: len(pieces.ids_of(s)), self.single)
+        self.known = _Cache()
+        self.known.learn(list(self.single), list(self.single.values()))
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        cut = [self.pieces.segments(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.known.update(self.single)
-        rest = [s for s in set().union(*cut) - self.known.keys() if len(s) <= KEEP_CHARS]
-        self.known.update((s, len(x) // 4) for s, x in zip(rest, self.pieces.checked(rest), strict=True))
-        return [sum(map(self.known.__getitem__, c)) for c in cut]
+        distinct = list(dict.fromkeys(texts))
+        cut = [self.pieces.segments(t) for t in distinct]
+        if self.known.bytes > CACHE_BYTES:
+            self.known.make_room()
+            self.known.learn(list(self.single), list(self.single.values()))
+        long = self.pieces.learn(cut, self.known, lambda ids: [len(x) // 4 for x in ids])
+        find = self.known.__getitem__ if not long else lambda s: long[s] if s in long else self.known[s]
+        n = {t: sum(map(find, c)) for t, c in zip(distinct, cut, strict=True)}
+        if self.pieces.check and "\n" not in self.pieces.alone and any(len(self.pieces.lib.encode(t)) != c for t, c in n.items()):
+            raise ValueError("counts and library differ")
+        return [n[t] for t in texts]

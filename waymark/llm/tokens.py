@@ -1,9 +1,14 @@
-"""Encoding, decoding and counting of whole texts in Arrow batches."""
+"""Encoding, decoding and counting of whole texts in Arrow batches.
+
+Defined cases: null counts as empty; rows that repeat an id or a text are rows of their own (a text is encoded once
+a slice); an empty table gives no rows; very long texts make a slice of their own; other columns are not read.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,26 +55,39 @@ def slices(batch: pa.RecordBatch, at: int):
         yield batch.slice(start)
 
 
-def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep``, ids (array<int>) and decoded (string).
+def _sha(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
+
+
+def encode_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and what ``keep`` names of ids (array<int>) and decoded (string).
 
     The executors get the model's bytes with the task, so the file need only exist on the driver.
     """
     model = model_bytes(model_path)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    schema = ", ".join(["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *[f"{k} {kinds[k]}" for k in keep]])
 
     def run(batches):
         p = _once("pieces", model)
         for whole in batches:
             for b in slices(whole, 1):
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                ids = p.encode_batch(texts, bos=True, eos=True)
-                lists = [memoryview(x).cast("I").tolist() for x in ids]
-                back = [p.decode(x) for x in lists]
-                sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-                cols = [b.column(0), pa.array([len(x) for x in lists], pa.int64()), sha(ids), sha(back)]
-                if keep:
-                    cols += [pa.array(lists, pa.list_(pa.int32())), pa.array([x.decode() for x in back], pa.string())]
+                ids = p.encode_batch([t or "" for t in b.column(1).to_pylist()], bos=True, eos=True)
+                shas, texts = {}, {}
+                for x in ids:
+                    if x not in shas:
+                        back = p.decode(memoryview(x).cast("I").tolist())
+                        shas[x] = _sha(x), _sha(back)
+                        if "decoded" in keep:
+                            texts[x] = back.decode()
+                sizes = [len(x) // 4 for x in ids]
+                cols = [b.column(0), pa.array(sizes, pa.int64()), pa.array([shas[x][0] for x in ids]), pa.array([shas[x][1] for x in ids])]
+                for k in keep:
+                    if k == "ids":
+                        ends = np.cumsum([0, *sizes]).astype(np.int32)
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+                    else:
+                        cols.append(pa.array([texts[x] for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, schema)
