@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from waymark.llm.mixing import count_words, mix, mix_documents
+from waymark.llm.mixing import mix, mix_documents, sized
 
 
 def water(sizes):
@@ -22,11 +22,12 @@ def water(sizes):
         capped |= {s: 3 * sizes[s] for s in over}
 
 
-def test_words():
+def test_words(spark):
     rng = random.Random(1)
-    for _ in range(300):
-        b = bytes(rng.choice(b" \t\n\x0b\x0c\rab\xc3\xa9\xc2\xa0\x1c\x85") for _ in range(rng.randrange(20)))
-        assert count_words(b) == len(re.findall(rb"[^\x20\x09-\x0D]+", b))
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\rabé\u00a0\x1c\x85\u3000🙂") for _ in range(rng.randrange(20))) for _ in range(300)] + ["x" * 200_000]
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: r.size for r in sized(rows).collect()}
+    assert got == {i: len(re.findall(rb"[^\x20\x09-\x0D]+", t.encode())) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -70,3 +71,15 @@ def test_documents_are_repeated(spark):
         got[r.doc_id, r.source] += 1
     assert dict(got) == {k: v for k, v in want.items() if v}
     assert mix_documents(df.where("false")).collect() == []
+
+
+def test_repeated_rows_share_their_epochs(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(12), rng.choice("ab"), " ".join(["w"] * rng.randrange(1, 4))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mix(df).collect():
+        want[r.doc_id, r.source, r.size] += r.epochs
+    for r in mix_documents(df).collect():
+        got[r.doc_id, r.source, len(r.text.split())] += 1
+    assert dict(got) == {k: v for k, v in want.items() if v}

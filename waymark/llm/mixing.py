@@ -10,46 +10,31 @@ Targets share the total by weight; a source's target stops at ``max_epochs`` tim
 reshared among the others, which is water filling: with sources sorted by cap / weight, the capped ones come first.
 
 Defined cases: null text counts as size 0, is never counted and keeps its row; sources sort by code point with
-null last; an empty table gives no rows; rows that repeat an id share its key and are taken one by one.
+null last; an empty table gives no rows; rows that repeat an id share its key and are taken one by one, also by
+``mix_documents``; other columns are not read.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from waymark.llm.common import Scope, map_arrow, materialize
+from waymark.llm.common import Scope, materialize
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 #: Rows of a source that one window group sorts, about.
 ROWS_A_RANGE = 4000
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def count_words(text: bytes) -> int:
-    """Runs of bytes that are not ASCII white space."""
-    if not text:
-        return 0
-    blank = _SPACE[np.frombuffer(text, np.uint8)]
-    return int(np.count_nonzero(blank[:-1] & ~blank[1:])) + int(not blank[0])
-
-
-def _counted(batches):
-    for b in batches:
-        n = [count_words(t) if t else 0 for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64())], ["doc_id", "source", "n_bytes", "size"])
+#: A word: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, n_bytes and size (words) of every row."""
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).cast("binary").alias("text"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+    """doc_id, source, n_bytes, size (words) and text_hash of every row."""
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n(F.octet_length(text)).alias("n_bytes"),
+        n(F.regexp_count(text, F.lit(WORD))).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
     )
-    return map_arrow(rows, _counted, "doc_id long, source string, n_bytes long, size long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -88,7 +73,7 @@ def exponential_key(seed: str) -> F.Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix|", **columns: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes) of every row, with its source, epochs (times taken) and n_bytes."""
+    """doc_id, size, source_size, target and taken (words the mix takes) of every row, with its source, epochs (times taken), n_bytes and text_hash."""
     rows = materialize(sized(docs, **columns).withColumn("_w_quality", quality_weight()), "mix-sizes")
     plan = materialize(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), weights, max_epochs), "mix-plan"
@@ -106,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     before = W.partitionBy("sid").orderBy("_w_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(F.col("sid").alias("_w_sid"), F.col("_w_range").alias("_w_r"), F.coalesce(F.sum("_w_sum").over(before), F.lit(0)).alias("_w_offset"))
     offsets = materialize(offsets, "mix-offsets")
-    own = W.partitionBy("sid", "_w_range").orderBy("_w_key", "doc_id", "size", "n_bytes").rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy("sid", "_w_range").orderBy("_w_key", "doc_id", "size", "n_bytes", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     summed = keyed.withColumn("_w_cum", F.sum("size").over(own)).join(
         offsets, (F.col("sid") == F.col("_w_sid")) & (F.col("_w_range") == F.col("_w_r"))
     )
@@ -114,23 +99,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     chosen = (total * 2 - F.col("size")).cast("double") <= F.col("_w_rest") * 2
     epochs = F.col("_w_full") + F.when(chosen & (F.col("size") > 0), 1).otherwise(0)
     return summed.withColumn("epochs", epochs.cast("long")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), "source", "epochs", "n_bytes"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"), "source", "epochs", "n_bytes", "text_hash"
     )
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as many times as the mix takes it.
 
-    Rows that repeat an id, source and size are told apart no further: each is taken as often as the one taken most.
+    Rows that repeat an id, source and text are alike, and their epochs are dealt out among them.
     """
+    alike = ["_w_id", "_w_source", "_w_bytes", "_w_hash"]
     with Scope(docs.sparkSession) as scope:
-        times = mix(docs, doc_id=doc_id, source=source, text=text, **options).where("epochs > 0").groupBy(
-            F.col("doc_id").alias("_w_id"), F.col("source").alias("_w_source"), F.col("n_bytes").alias("_w_bytes")
+        times = mix(docs, doc_id=doc_id, source=source, text=text, **options).select(
+            F.col("doc_id").alias("_w_id"), F.col("source").alias("_w_source"), F.col("n_bytes").alias("_w_bytes"), F.col("text_hash").alias("_w_hash"), "epochs"
         )
-        times = scope.keep(materialize(times.agg(F.max("epochs").alias("_w_times")), "mix-times"))
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_w_id")) & F.col(source).eqNullSafe(F.col("_w_source")) & (F.col("_w_size") == F.col("_w_bytes"))
-    taken = docs.withColumn("_w_size", size).join(times, same).withColumn("_w_n", F.explode(F.sequence(F.lit(1), F.col("_w_times").cast("int"))))
+        times = times.groupBy(*alike).agg(F.sum("epochs").alias("_w_times"), F.count(F.lit(1)).alias("_w_rows")).where("_w_times > 0")
+        times = scope.keep(materialize(times, "mix-times"))
+    own = {
+        "_w_i": F.col(doc_id).cast("long"), "_w_s": F.col(source), "_w_b": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
+        "_w_h": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+    }
+    same = F.col("_w_i").eqNullSafe(F.col("_w_id")) & F.col("_w_s").eqNullSafe(F.col("_w_source")) & (F.col("_w_b") == F.col("_w_bytes")) & (F.col("_w_h") == F.col("_w_hash"))
+    found = docs.withColumns(own).join(times, same)
+    taken = found.where("_w_rows = 1").withColumn("_w_n", F.col("_w_times"))
+    if not times.where("_w_rows > 1").isEmpty():
+        turn = F.row_number().over(W.partitionBy(*alike).orderBy(F.lit(0)))
+        many = found.where("_w_rows > 1").withColumn("_w_n", F.expr("_w_times div _w_rows") + F.when(turn <= F.col("_w_times") % F.col("_w_rows"), 1).otherwise(0))
+        taken = taken.unionByName(many.where("_w_n > 0"))
+    taken = taken.withColumn("_w_n", F.explode(F.sequence(F.lit(1), F.col("_w_n").cast("int"))))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

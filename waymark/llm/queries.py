@@ -46,7 +46,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).drop("source", "epochs", "n_bytes")
+    return mix(read_table(spark, sf_dir, "documents")).drop("source", "epochs", "n_bytes", "text_hash")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
