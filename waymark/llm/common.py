@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from waymark.runtime import Scope, delete_path, materialize, release, scratch_path, shared_dir, ship
 
-__all__ = ["Scope", "delete_path", "map_arrow", "materialize", "read_table", "release", "salted_row_number", "scratch_path", "shared_dir", "ship"]
+__all__ = ["Scope", "delete_path", "join_groups", "map_arrow", "materialize", "read_table", "release", "salted_row_number", "scratch_path", "shared_dir", "ship"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,22 @@ def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: A group with more than this part of all rows is hot; there are fewer hot groups than this number.
+HOT_PART = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with what ``groups`` (one row a ``key``, of ``size`` rows) says of their group, and no task with all rows of a hot one.
+
+    Fewer than HOT_PART groups can hold more than 1/HOT_PART of the rows each.  Those are broadcast, so their rows stay
+    where they are; all others meet in a shuffle.  Both tables are read twice and should be written ones.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    big = F.col(size) * HOT_PART > total
+    hot, rest = F.broadcast(groups.where(big)), groups.where(~big)  # fewer than HOT_PART rows
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def salted_row_number(df: DataFrame, key: str, salt: Column, order: list[Column], out: str, parts: int) -> DataFrame:
     """Gapless numbers from 0 within ``key`` that no single task has to make.
 

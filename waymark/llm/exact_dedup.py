@@ -3,8 +3,9 @@
 Keys (digest, stable identifier, content locator) stream through a keyed aggregation whose state lives in RocksDB
 on disk, is versioned in the shared checkpoint folder and never expires.  Rows of one digest are reduced before
 they are dealt out, so a digest that holds a third of the rows is no hot key.  Hits (digests seen more than once)
-are then checked on their full bytes against the row that stays; should a digest ever stand for different texts,
-those rows are grouped by their bytes instead.
+are then checked on their full bytes: rows are grouped by digest and bytes, copies within a partition meet before
+anything is dealt out, and a digest with two groups stands for different texts.  Rows of such digests are grouped by
+their bytes instead.  The locator is the file that holds the row that stays, for those who fetch its bytes later.
 
 Of equal texts the row with the largest identifier stays.  Defined cases: null text counts as empty; a null
 identifier loses to any other; rows that repeat the same identifier and text count in the group's size and share
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waymark.llm.common import Scope, materialize, scratch_path
+from waymark.llm.common import Scope, join_groups, materialize, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -100,18 +101,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sh
         state = scope.keep(materialize(latest(spark, out), "dedup-latest"))
         groups = state.select("digest", "keep_id", "group_size")
 
-        # full bytes on hits
-        hits = state.where("group_size > 1").select(F.col("digest").alias("_w_d"))
-        found = materialize(rows.withColumn("digest", digest(F.col("text"))).join(hits, F.col("digest") == F.col("_w_d"), "left_semi"), "dedup-hits")
-        stays = state.where("group_size > 1").select(F.col("digest").alias("_w_d"), F.col("keep_id").alias("_w_k"))
-        kept = found.join(stays, (F.col("digest") == F.col("_w_d")) & F.col("doc_id").eqNullSafe(F.col("_w_k")), "left_semi")
-        kept = kept.select(F.col("digest").alias("_w_d"), F.col("text").alias("_w_t")).dropDuplicates(["_w_d"])
-        kept = materialize(kept, "dedup-kept")
-        differ = found.join(kept, (F.col("digest") == F.col("_w_d")) & (F.col("text") != F.col("_w_t"))).select("digest")
-        mixed = scope.keep(materialize(differ.distinct(), "dedup-mixed"))
+        # full bytes on hits; a digest that was seen once has one group here as well, and no clash
+        contents = rows.select(digest(F.col("text")).alias("digest"), "text").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
+        mixed = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        mixed = scope.keep(materialize(mixed, "dedup-mixed"))
         clash = not mixed.isEmpty()
         if clash:
-            scope.keep(found)
+            found = rows.withColumn("digest", digest(F.col("text"))).join(mixed, "digest", "left_semi")
+            found = scope.keep(materialize(found, "dedup-clashes"))
     joined = keys.withColumnRenamed("digest", "_w_digest")
     if clash:
         mixed_rows = found.join(mixed, "digest", "left_semi").withColumn("digest", F.concat("digest", F.lit("|"), F.base64(F.encode("text", "UTF-8"))))
@@ -126,7 +123,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sh
         )
         joined = joined.select("doc_id", "_w_digest", "text_sha256").join(mixed.withColumnRenamed("digest", "_w_digest"), "_w_digest", "left_anti")
         joined = joined.select("doc_id", "_w_digest", "text_sha256").unionByName(whole)
-    return joined.join(groups, F.col("_w_digest") == F.col("digest")).select(
+    groups = groups.withColumnRenamed("digest", "_w_digest")
+    return join_groups(joined, groups, "_w_digest", "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

@@ -14,14 +14,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import Scope, materialize, salted_row_number
+from waymark.llm.common import Scope, join_groups, materialize, salted_row_number
 
 ROW_OVERHEAD = 16
 SHARDS = 40
 #: Rows that one window task numbers, about.
 ROWS_A_TASK = 1_000_000
+#: The least capacity is found to one part in so many, mostly at the first or second try.
+TOLERANCE = 100_000
 
 
 class _Node:
@@ -168,12 +171,12 @@ def pack_evenly(sizes: list[tuple[int, int]], shards: int) -> list[Run]:
         return runs
     lo = max(-(-total // bins), rest[0][0])
     hi = lo
-    step = max(1, lo // 100_000)
+    step = max(1, lo // TOLERANCE)
     best = best_fit_decreasing(rest, hi, shards - bins, bins, skip)
     while best is None:
         lo, hi, step = hi + 1, hi + step, step * 4
         best = best_fit_decreasing(rest, hi, shards - bins, bins, skip)
-    while hi - lo > max(1, lo // 1_000_000):
+    while hi - lo > max(1, lo // TOLERANCE):
         mid = (lo + hi) // 2
         got = best_fit_decreasing(rest, mid, shards - bins, bins, skip)
         lo, hi, best = (lo, mid, got) if got else (mid + 1, hi, best)
@@ -181,25 +184,30 @@ def pack_evenly(sizes: list[tuple[int, int]], shards: int) -> list[Run]:
 
 
 def shard_groups(rows: DataFrame, group: str, size: str, shards: int | None = None, capacity: int | None = None) -> DataFrame:
-    """Columns ``group`` and ``shard`` (int), one row a group.
+    """Columns ``group``, ``shard`` (int) and ``n_rows``, one row a group.
 
     ``rows`` has a row for each member, with its size.  Either the number of ``shards`` is fixed and their
     capacity is made as small as possible, or ``capacity`` is fixed and as few shards as it takes are opened.
     """
     spark = rows.sparkSession
-    sums = materialize(rows.groupBy(F.col(group).alias("_w_g")).agg(F.sum(size).cast("long").alias("_w_size")), "groups")
-    counts = [(r[0], r[1]) for r in sums.groupBy("_w_size").count().collect()]  # at most sqrt(2 x bytes) rows
+    sums = rows.groupBy(F.col(group).alias("_w_g")).agg(F.sum(size).cast("long").alias("_w_size"), F.count(F.lit(1)).alias("n_rows"))
+    sums = materialize(sums, "groups")
+    found = sums.groupBy("_w_size").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most sqrt(2 x bytes) rows
+    counts = list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     if shards is not None:
         runs = pack_evenly(counts, shards)
     else:
         runs, _ = best_fit_decreasing(sorted(counts, reverse=True), capacity)
-    placed = spark.createDataFrame([(r.size, r.lo, r.hi, r.shard) for r in runs], "_w_size long, _w_lo long, _w_hi long, shard int")
-    parts = max(8, sum(c for _, c in counts) // (ROWS_A_TASK * max(1, len(counts))))
+    columns = zip(*[(r.size, r.lo, r.hi, r.shard) for r in runs], strict=True) if runs else [[]] * 4
+    shape = pa.schema([("_w_size", pa.int64()), ("_w_lo", pa.int64()), ("_w_hi", pa.int64()), ("shard", pa.int32())])
+    placed = spark.createDataFrame(pa.table([pa.array(c, k.type) for c, k in zip(columns, shape, strict=True)], shape))
+    # a size that many groups have is dealt over as many tasks as its own number asks for
+    parts = max(8, -(-max((c for _, c in counts), default=0) // ROWS_A_TASK))
     ranked = salted_row_number(sums, "_w_size", F.xxhash64("_w_g"), [F.col("_w_g")], "_w_rank", parts)
     return (
         ranked.join(placed, "_w_size")
         .where((F.col("_w_rank") >= F.col("_w_lo")) & (F.col("_w_rank") < F.col("_w_hi")))
-        .select(F.col("_w_g").alias(group), "shard")
+        .select(F.col("_w_g").alias(group), "shard", "n_rows")
     )
 
 
@@ -217,7 +225,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
             "shard-keys",
         )
         bins = materialize(shard_groups(keys, "digest", "size", shards), "shard-bins")
-        placed = scope.keep(materialize(keys.join(bins, "digest"), "shard-rows"))
+        placed = scope.keep(materialize(join_groups(keys, bins, "digest", "n_rows").drop("n_rows"), "shard-rows"))
     parts = max(8, placed.count() // (ROWS_A_TASK * shards))
     out = salted_row_number(placed, "shard", F.xxhash64("doc_id"), [F.col("doc_id"), F.col("digest")], "slot", parts)
     return out.select(
