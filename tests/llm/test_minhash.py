@@ -87,11 +87,28 @@ def test_estimates():
 def test_brute_force(spark, monkeypatch, seed, k, chunk):
     monkeypatch.setattr(m, "CHUNK", chunk)
     monkeypatch.setattr(m, "ROWS_AT_ONCE", 2 if chunk < 9 else 64)
+    monkeypatch.setattr(m, "CHUNK_BYTES", 2000 if seed == 3 else m.CHUNK_BYTES)
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string")
     assert sorted(map(tuple, near_duplicates(df, k).collect()), key=str) == brute(rows, k)
 
 
+def test_chunks_follow_sizes(spark, monkeypatch):
+    """In a large bucket a class only meets chunks whose sizes may link; every pair that may link meets exactly once."""
+    monkeypatch.setattr(m, "CHUNK", 4)
+    rng = random.Random(2)
+    sizes = [int(10 ** rng.uniform(0, 5)) for _ in range(150)] + [50] * 20
+    banded = spark.createDataFrame([(7, 0, i.to_bytes(4, "big"), n) for i, n in enumerate(sizes)] + [(8, 1, b"x", 5), (8, 1, b"y", 900), (9, 1, b"z", 5)], "key long, band byte, node binary, n_shingles long")
+    rows = m._chunked(banded, 80).collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault((r.key, r.lo, r.hi), []).append(r)
+    met = [(a.node, b.node) for t in tasks.values() for a, b in combinations(sorted(t, key=lambda r: r.node), 2) if t[0].lo == t[0].hi or a.chunk != b.chunk]
+    may = {(i.to_bytes(4, "big"), j.to_bytes(4, "big")) for i, j in combinations(range(len(sizes)), 2) if min(sizes[i], sizes[j]) * 100 >= 80 * max(sizes[i], sizes[j])}
+    assert len(met) == len(set(met)) and may <= set(met) and (b"x", b"y") in met
+    assert len(met) < 0.4 * len(sizes) ** 2 / 2 and not any(r.key == 9 for r in rows)
+
+
 def test_drop(spark):
     rows = corpus(5, 80)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component_id string")

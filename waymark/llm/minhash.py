@@ -7,9 +7,11 @@ bucket.  In a bucket, pairs are taken whose sizes allow the similarity and whose
 from all registers is within six standard deviations of it, and they are confirmed on full shingle sets.  Only
 links that join what isn't yet joined within the bucket are written, so output grows with members, not pairs.
 
-At a similarity of 0.8 a pair shares none of 32 bands with a probability of 5e-8.  Buckets of more than CHUNK
-classes are cut into chunks, and each pair of chunks is a task of its own; a pair that shares several bands is
-handled in the first.
+At a similarity of 0.8 a pair shares none of 32 bands with a probability of 5e-8.  A bucket of more than CHUNK
+classes, or whose full sets take more than CHUNK_BYTES, is cut by set size into steps so wide that a link never
+crosses more than one border; steps that are still too large are cut into chunks.  Each pair of chunks of one step or
+of neighbouring ones is a task of its own, which holds two chunks at most, and pairs of chunks whose sizes rule out
+every link never exist.  A pair that shares several bands is handled in the first.
 
 Defined cases: null counts as empty; texts without words have an empty set, link with nothing and stay; rows that
 repeat an id are rows of their own, with one verdict if their texts are equal; null ids never name a component
@@ -19,12 +21,13 @@ unless all of its ids are null; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from waymark.llm.common import Scope, map_arrow, materialize
+from waymark.llm.common import Scope, join_groups, map_arrow, materialize
 from waymark.llm.components import connected_components
 from waymark.llm.shingles import mix, shingle_sets
 from waymark.llm.tokens import slices
@@ -35,6 +38,7 @@ BANDS = REGISTERS // BAND
 MANTISSA = 10
 _BITS = 57  # of a hash, without the 7 that choose the bucket
 CHUNK = 1024
+CHUNK_BYTES = 48_000_000
 #: Members whose pairs a task compares at once.
 ROWS_AT_ONCE = 64
 _EDGES = (np.arange(REGISTERS, dtype=np.uint64)) << np.uint64(_BITS)
@@ -116,11 +120,11 @@ def _sign(k: int):
 
 def _bands(batches):
     for b in batches:
-        regs = b.column(1).to_pylist()
+        regs, sizes = b.column(1).to_pylist(), b.column(2)
         keys = np.frombuffer(b"".join(regs), "<u8").reshape(-1, BANDS)
         at, band = np.nonzero(keys)
         key = mix(keys[at, band] ^ mix(band.astype(np.uint64) + np.uint64(1))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band.astype(np.int8)), b.column(0).take(pa.array(at))], ["key", "band", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band.astype(np.int8)), b.column(0).take(at := pa.array(at)), sizes.take(at)], ["key", "band", "node", "n_shingles"])
 
 
 def groups_of(batches, keys: int):
@@ -231,31 +235,47 @@ def _sets(k: int):
     return run
 
 
+def _chunked(banded: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets with two classes or more, once for each task (lo, hi: chunks) that they take part in."""
+    n, bytes_ = F.count(F.lit(1)), F.sum("n_shingles") * 8
+    shared = banded.groupBy(F.col("key").alias("_w_key")).agg(n.alias("n"), bytes_.alias("bytes")).where("n > 1")
+    shared = materialize(shared, "near-buckets").withColumn("large", (F.col("n") > CHUNK) | (F.col("bytes") > CHUNK_BYTES))
+    members = banded.join(shared.select("_w_key", "large"), F.col("key") == F.col("_w_key")).drop("_w_key")
+    whole = members.where("NOT large").select("key", "band", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("chunk"), "node", "n_shingles")
+    if shared.where("large").isEmpty():
+        return whole
+    # sizes that may link differ by less than one step
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    large = members.where("large").withColumn("step", F.floor(F.log(F.col("n_shingles")) / F.lit(width)).cast("long"))
+    sizes = large.groupBy("key", "step").agg(n.alias("n"), bytes_.alias("bytes"))
+    sizes = sizes.withColumn("chunks", F.ceil(F.greatest(F.col("n") / F.lit(CHUNK), F.col("bytes") / F.lit(CHUNK_BYTES))))
+    by = W.partitionBy("key").orderBy("step")  # a bucket's steps: some dozens
+    beside = lambda f, d: F.when(f("step").over(by) == F.col("step") + d, f("chunks").over(by)).otherwise(0)
+    sizes = sizes.select(F.col("key").alias("_w_key"), F.col("step").alias("_w_step"), "chunks", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    cell = lambda step, i: step * F.lit(1 << 32) + i
+    cells = lambda count, d: F.transform(F.slice(F.sequence(F.lit(0).cast("long"), count), F.lit(1), count.cast("int")), lambda i: cell(F.col("step") + d, i))
+    large = large.join(materialize(sizes, "near-steps"), (F.col("key") == F.col("_w_key")) & (F.col("step") == F.col("_w_step")))
+    large = large.withColumn("chunk", cell(F.col("step"), F.pmod(F.xxhash64("node"), F.col("chunks"))))
+    others = F.concat(cells(F.col("below"), -1), cells(F.col("chunks"), 0), cells(F.col("above"), 1))
+    large = large.withColumn("other", F.explode(others))
+    return whole.unionByName(large.select("key", "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n_shingles"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     with Scope(docs.sparkSession) as scope:
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
         signed = scope.keep(materialize(map_arrow(rows, _sign(k), "doc_id long, n_shingles long, node binary, regs binary"), "near-signatures"))
         some = signed.where("node IS NOT NULL")
-        nodes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+        nodes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.count(F.lit(1)).alias("n_rows"))
         nodes = materialize(nodes, "near-classes")
 
-        banded = materialize(map_arrow(nodes.select("node", "regs"), _bands, "key long, band byte, node binary"), "near-bands")
-        shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "_w_key"), "near-buckets")
-        chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-        met = materialize(
-            banded.join(shared, F.col("key") == F.col("_w_key")).select("key", "band", "node", chunks.alias("chunks")), "near-members"
-        )
-        own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        dealt = (
-            met.join(nodes.select(F.col("node").alias("_w_node"), "regs", "n_shingles"), F.col("node") == F.col("_w_node"))
-            .withColumn("chunk", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select("key", "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n_shingles", "regs")
-        )
+        banded = map_arrow(nodes.select("node", "regs", "n_shingles"), _bands, "key long, band byte, node binary, n_shingles long")
+        met = materialize(_chunked(materialize(banded, "near-bands"), percent), "near-members")
+        dealt = met.join(nodes.select(F.col("node").alias("_w_node"), "regs"), F.col("node") == F.col("_w_node")).drop("_w_node")
         order = ["key", "band", "lo", "hi"]
-        shape = "key long, band byte, lo int, hi int, chunk int, node binary, n_shingles long, regs binary"
-        dealt = dealt.repartition(*order).sortWithinPartitions(*order)
+        shape = "key long, band byte, lo long, hi long, chunk long, node binary, n_shingles long, regs binary"
+        dealt = dealt.select(*order, "chunk", "node", "n_shingles", "regs").repartition(*order).sortWithinPartitions(*order)
         flagged = materialize(map_arrow(dealt, _flag(percent), shape), "near-candidates")
         scope.discard(nodes, flagged)
 
@@ -270,12 +290,12 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, doc_id: str
 
         scope.discard(nodes, links)
         stars = connected_components(links) if not links.isEmpty() else links
-        roots = nodes.select("node", "least").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-        roots = materialize(roots.select("node", "least", F.coalesce("root", "node").alias("root")), "near-roots")
+        roots = nodes.select("node", "least", "n_rows").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+        roots = materialize(roots.select("node", "least", "n_rows", F.coalesce("root", "node").alias("root")), "near-roots")
         named = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_w_root"), "near-names")
-        named = roots.join(named, F.col("root") == F.col("_w_root")).select(F.col("node").alias("_w_node"), "component_id")
+        named = roots.join(named, F.col("root") == F.col("_w_root")).select("node", "component_id", "n_rows")
         named = scope.keep(materialize(named, "near-components"))
-    out = some.join(named, F.col("node") == F.col("_w_node")).select("doc_id", "n_shingles", "component_id")
+    out = join_groups(some, named, "node", "n_rows").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
