@@ -1,20 +1,20 @@
 """Exact top-k search by three-phase uniform threshold.
 
-The dimensions are cut into blocks, and each block is a list of (vector, partial score) for a query.
+1. Every partition gathers a local list for each query: one product in single precision gives each score with a bound of
+   its error, and what may be among the partition's k best is listed as an interval (low, high).  The k-th largest low of
+   all lists is a safe cutoff: k rows score at least that much.
+2. The cutoffs are broadcast, and the listed entries whose high reaches them are collected.  The lists are kept, so no
+   score is computed a second time for this.
+3. Only the collected entries are resolved exactly, in whole numbers, and ranked, ties to the smaller id.
 
-1. Every partition gathers, for each query, the vectors that lead any of its lists, with their whole scores, and
-   the least partial score of each list.  The k-th best whole score so far is a safe lower bound.
-2. That bound, less the least partials and divided evenly by the number of lists, is the cutoff: a vector whose
-   score reaches the bound must reach the cutoff in one list at least.  The cutoffs go to all partitions, and
-   each collects the entries that reach them.
-3. Scores of the collected entries are resolved exactly; each partition keeps k (ties to the smaller id), and the
-   k best of those are ranked.
-
-Queries run in blocks of bounded size against all rows, so neither queries nor scores of all pairs meet anywhere.
+Equal vectors of a chunk score alike, so all but the k + 1 with the smallest ids leave before the product; where more
+than 2k others come near a partition's cutoff, as with few distinct scores, they are resolved at once and k remain.
+So a list has few entries, whatever the ties.  Queries run in blocks of bounded size against all rows.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without an id take no
 part; of query rows that repeat an id the least vector asks; candidates that repeat an id are separate rows, and
-none is a candidate for its own id; shorter vectors count as padded with zeros; scores beyond a long are clipped.
+none is a candidate for its own id; shorter vectors count as padded with zeros; scores beyond a long are clipped; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from waymark.llm.common import map_arrow, materialize
 
 SCALE = 1024
-BLOCKS = 2
 #: Queries of one block, about; the matrix that is broadcast has so many rows.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 #: Scores held at once by a task.
 CELLS = 2_000_000
+#: Entries that a task holds before it drops those that its cutoff has left behind.
+HELD = 4_000_000
 _LIMIT = 2**63 - 1
+_MOST = np.finfo(np.float64).max
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -48,144 +50,138 @@ def scaled(column: pa.Array, scale: int, width: int | None = None) -> np.ndarray
     sizes = np.diff(column.offsets.to_numpy())
     width = max(int(sizes.max(initial=0)), width or 0)
     out = np.zeros((len(sizes), width))
-    out[np.arange(width) < sizes[:, None]] = np.floor(flat * scale)
-    return out
-
-
-def partials(q: np.ndarray, v: np.ndarray, blocks: int) -> list[np.ndarray]:
-    """Partial scores of every block of dimensions; exact: whole numbers in doubles where they fit, else Python's."""
-    d = max(q.shape[1], v.shape[1])
-    pad = lambda a: np.pad(a, ((0, 0), (0, d - a.shape[1]))) if a.shape[1] < d else a
-    q, v = pad(q), pad(v)
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(d, 1) >= 2.0**52:
-        whole = lambda a: np.array([[int(x) for x in r] for r in a], dtype=object).reshape(a.shape)
-        q, v = whole(q), whole(v)
-    cuts = np.linspace(0, d, blocks + 1).astype(int)
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        p = q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(q), len(v)), dtype=q.dtype)
-        out.append(p)
+    with np.errstate(over="ignore"):
+        out[np.arange(width) < sizes[:, None]] = np.clip(np.floor(flat * scale), -_MOST, _MOST)
     return out
 
 
-def _best(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest values, ties to the smaller id."""
-    if values.dtype == object:
-        return np.array(sorted(range(len(values)), key=lambda i: (-values[i], ids[i]))[:k], dtype=int)
-    if len(values) > 4 * k:
-        floor = np.partition(values, len(values) - k)[len(values) - k]
-        near = np.flatnonzero(values >= floor)
-    else:
-        near = np.arange(len(values))
-    return near[np.lexsort((ids[near], -values[near]))[:k]]
+def _whole(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``q`` with those of ``v``, one by one; exact: doubles where they hold them, else Python's integers."""
+    d = min(q.shape[1], v.shape[1])
+    q, v = q[:, :d], v[:, :d]
+    if float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * d < 2.0**52:
+        return np.einsum("ij,ij->i", q, v).astype(np.int64)
+    return np.array([max(-_LIMIT - 1, min(_LIMIT, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for a, b in zip(q, v, strict=True)], dtype=np.int64)
+
+
+class Queries:
+    """A block of queries, ready for products."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.unit, self.norm = self._unit(x)
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.abs(x).max(axis=1, initial=0)
+        small = x / np.where(most > 0, most, 1)[:, None]
+        size = np.sqrt((small * small).sum(axis=1))
+        with np.errstate(over="ignore"):
+            return (small / np.where(size > 0, size, 1)[:, None]).astype(np.float32), size * most
+
+    def bounds(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the (clipped) scores of every query with every row of ``v``."""
+        d = min(self.x.shape[1], v.shape[1])
+        unit, norm = self._unit(v)
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = self.norm[:, None] * norm[None, :]
+            got = (self.unit[:, :d] @ unit[:, :d].T).astype(np.float64) * size
+            err = size * ((d + 8) * 2.0**-22)  # four times what rounding can add up to
+            known = np.isfinite(size)
+            return np.where(known, np.minimum(got - err, 2.0**63), -np.inf), np.where(known, np.maximum(got + err, -(2.0**63)), np.inf)
+
+
+def _first_copies(ids: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` smallest ids of each distinct vector."""
+    kind = np.unique(v, axis=0, return_inverse=True)[1].ravel() if len(v) > most else np.arange(len(v))
+    order = np.lexsort((ids, kind))
+    turn = np.arange(len(v)) - np.searchsorted(kind[order], kind[order])
+    return order[turn < most]
+
+
+def _first(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, ~score, query))  # ~ turns the order of whole numbers and can't overflow
+    turn = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return order[turn < k]
+
+
+def local_lists(batches, queries: Queries, k: int, scale: int):
+    """(query position, vec_id, low, high) of what may be among the k best of these rows."""
+    n = len(queries.ids)
+    best = np.full((n, k), -np.inf)
+    held, count = [], 0
+    step = max(64, CELLS // max(1, n))
+
+    def near(parts):
+        qi, ids, low, high = map(np.concatenate, zip(*parts, strict=True))
+        ok = high >= best.min(axis=1)[qi]
+        return qi[ok], ids[ok], low[ok], high[ok]
 
-
-def _leaders(p: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of each row, in any order."""
-    if p.shape[1] <= k:
-        return np.broadcast_to(np.arange(p.shape[1]), p.shape)
-    return np.argsort(-p, axis=1)[:, :k] if p.dtype == object else np.argpartition(p, p.shape[1] - k, axis=1)[:, p.shape[1] - k:]
-
-
-def _chunks(batches, n_queries: int, scale: int):
-    step = max(64, CELLS // max(1, n_queries))
     for b in batches:
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
-            yield part.column(0).to_numpy(), scaled(part.column(1), scale)
-
+            ids, v = part.column(0).to_numpy(), scaled(part.column(1), scale)
+            own = _first_copies(ids, v, k + 1)
+            ids, v = ids[own], v[own]
+            low, high = queries.bounds(v)
+            low[queries.ids[:, None] == ids[None, :]] = -np.inf
+            best = -np.partition(-np.concatenate((best, low), axis=1), k - 1, axis=1)[:, :k]
+            qi, vi = np.nonzero((high >= best.min(axis=1)[:, None]) & (queries.ids[:, None] != ids[None, :]))
+            crowded = (np.bincount(qi, minlength=n) > 2 * k)[qi]
+            held.append((qi[~crowded], ids[vi[~crowded]], low[qi[~crowded], vi[~crowded]], high[qi[~crowded], vi[~crowded]]))
+            if crowded.any():
+                qi, vi = qi[crowded], vi[crowded]
+                for lo in range(0, n, step):  # bounded copies
+                    some = (qi >= lo) & (qi < lo + step)
+                    if some.any():
+                        q, w = qi[some], vi[some]
+                        exact = _whole(queries.x[q], v[w])
+                        top = _first(q, exact, ids[w], k)
+                        # as intervals: doubles next to the whole number
+                        f = exact[top].astype(np.float64)
+                        held.append((q[top], ids[w[top]], np.nextafter(f, -np.inf), np.nextafter(f, np.inf)))
+            count += sum(len(x[0]) for x in held[-2:])
+            if count > HELD:
+                held = [near(held)]
+                count = len(held[0][0])
+    if held:
+        yield near(held)
+
+
+def _search_block(rows: DataFrame, queries: Queries, k: int, scale: int) -> DataFrame:
+    """query_id, vec_id and score of every entry that may be among a query's k best."""
+    sent = rows.sparkSession.sparkContext.broadcast(queries)
 
-def _clip(x) -> int:
-    return max(-_LIMIT - 1, min(_LIMIT, int(x)))
-
-
-def _whole(parts: list[np.ndarray]) -> np.ndarray:
-    total = sum(parts[1:], parts[0])
-    return np.clip(total, -_LIMIT - 1, _LIMIT) if total.dtype == object else total
-
-
-def _rows(query, vec, score, lows=None):
-    cols = [pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array([_clip(x) for x in score], pa.int64())]
-    names = ["query_id", "vec_id", "score"]
-    if lows is not None:
-        cols.append(pa.array([[float(x) for x in r] for r in lows], pa.list_(pa.float64())))
-        names.append("lows")
-    return pa.RecordBatch.from_arrays(cols, names)
+    def gather(batches):
+        for qi, ids, low, high in local_lists(batches, sent.value, k, scale):
+            cols = [pa.array(sent.value.ids[qi]), pa.array(ids), pa.array(low), pa.array(high)]
+            for b in pa.Table.from_arrays(cols, ["query_id", "vec_id", "low", "high"]).to_batches(max_chunksize=100_000):
+                yield b
+
+    lists = materialize(map_arrow(rows, gather, "query_id long, vec_id long, low double, high double"), "topk-lists")
+    turn = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("low")))
+    cutoffs = lists.select("query_id", "low", turn.alias("n")).where(F.col("n") <= k).groupBy("query_id")
+    cutoffs = cutoffs.agg(F.when(F.count(F.lit(1)) == k, F.min("low")).otherwise(float("-inf")).alias("cutoff"))
+    # a row for each query of the block
+    wanted = lists.join(F.broadcast(cutoffs), "query_id").where(F.col("high") >= F.col("cutoff")).select("query_id", "vec_id").distinct()
+    wanted = materialize(wanted, "topk-entries")
+    vectors = rows.join(wanted.select("vec_id").distinct(), "vec_id", "left_semi")
+    entries = wanted.join(vectors, "vec_id").select("query_id", "vec_id", "x")
 
+    def resolve(batches):
+        own = sent.value
+        order = np.argsort(own.ids)
+        for b in batches:
+            if b.num_rows:
+                at = order[np.searchsorted(own.ids[order], b.column(0).to_numpy())]
+                score = _whole(own.x[at], scaled(b.column(2), scale))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
 
-def _search_block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, blocks: int, scale: int) -> DataFrame:
-    sc = rows.sparkSession.sparkContext
-    sent = sc.broadcast((ids, vectors))
+    return materialize(map_arrow(entries, resolve, "query_id long, vec_id long, score long"), "topk-scores")
 
-    def gather(batches):
-        q_ids, q = sent.value
-        best = [[] for _ in q_ids]
-        lows = None
-        for v_ids, v in _chunks(batches, len(q_ids), scale):
-            parts = partials(q, v, blocks)
-            total = _whole(parts)
-            own = q_ids[:, None] == v_ids[None, :]
-            low = np.stack([p.min(axis=1) for p in parts], axis=1)
-            lows = low if lows is None else np.minimum(lows, low)
-            lead = np.concatenate([_leaders(p, k + 1) for p in parts], axis=1)  # one more, as the query's own row may lead
-            for i, at in enumerate(lead):
-                at = np.unique(at)
-                at = at[~own[i, at]]
-                got = best[i] + list(zip((-total[i, at]).tolist(), v_ids[at].tolist(), strict=True))
-                best[i] = sorted(got)[:k]
-        if lows is not None:
-            flat = [(q_ids[i], v, -s, lows[i]) for i, b in enumerate(best) for s, v in b or [(None, None)] if s is not None]
-            empty = [(q_ids[i], None, None, lows[i]) for i, b in enumerate(best) if not b]
-            if empty:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([e[0] for e in empty], pa.int64()), pa.nulls(len(empty), pa.int64()), pa.nulls(len(empty), pa.int64()), pa.array([[float(x) for x in e[3]] for e in empty], pa.list_(pa.float64()))],
-                    ["query_id", "vec_id", "score", "lows"],
-                )
-            if flat:
-                yield _rows(*zip(*flat, strict=True))
-
-    first = materialize(map_arrow(rows, gather, "query_id long, vec_id long, score long, lows array<double>"), "topk-lists")
-    by_score = W.partitionBy("query_id").orderBy(F.col("score").desc())
-    leaders = first.where("score IS NOT NULL").select("query_id", "score", F.row_number().over(by_score).alias("n")).where(F.col("n") <= k)
-    bounds = leaders.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bound"))
-    least = first.groupBy("query_id").agg(*[F.min(F.col("lows")[b]).alias(f"low{b}") for b in range(blocks)])
-    cut = {}  # a row for each query of the block
-    for r in least.join(bounds, "query_id", "left").collect():
-        bound = r.bound if r.n == k else None
-        cut[r.query_id] = (bound, [r[f"low{b}"] for b in range(blocks)])
-    floors = np.array([float("-inf") if cut.get(i, (None,))[0] is None else float(cut[i][0]) for i in ids])
-    low = np.array([cut[i][1] if i in cut else [0.0] * blocks for i in ids]).reshape(len(ids), blocks)
-    # less one part in 2^40, so that rounding of large scores never cuts a vector off
-    share = (floors - low.sum(axis=1)) / blocks
-    cutoff = share[:, None] + low
-    cutoff -= np.where(np.isfinite(cutoff), np.abs(cutoff), 0) * 2.0**-40
-    floors -= np.where(np.isfinite(floors) & (np.abs(floors) >= 2.0**52), np.abs(floors), 0) * 2.0**-40
-    cutoffs = sc.broadcast((floors, cutoff))
 
-    def resolve(batches):
-        q_ids, q = sent.value
-        floor, least_partial = cutoffs.value
-        best = [[] for _ in q_ids]
-        for v_ids, v in _chunks(batches, len(q_ids), scale):
-            parts = partials(q, v, blocks)
-            enough = q_ids[:, None] != v_ids[None, :]
-            enough &= np.logical_or.reduce([np.asarray(p >= least_partial[:, b : b + 1], dtype=bool) for b, p in enumerate(parts)])
-            for i in np.flatnonzero(enough.any(axis=1)):
-                at = np.flatnonzero(enough[i])
-                score = _whole([p[i, at] for p in parts])
-                at, score = at[at_least := np.asarray(score >= floor[i], dtype=bool)], score[at_least]
-                if len(at):
-                    top = _best(score, v_ids[at], k)
-                    got = best[i] + list(zip((-score[top]).tolist(), v_ids[at[top]].tolist(), strict=True))
-                    best[i] = sorted(got)[:k]
-        flat = [(q_ids[i], v, -s) for i, b in enumerate(best) for s, v in b]
-        if flat:
-            yield _rows(*zip(*flat, strict=True))
-
-    return materialize(map_arrow(rows, resolve, "query_id long, vec_id long, score long"), "topk-entries")
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE, blocks: int = BLOCKS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best rows of every query."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
@@ -197,7 +193,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE,
         own = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == b).toArrow().combine_chunks()  # QUERY_BLOCK rows, about
         if not own.num_rows:
             continue
-        part = _search_block(rows, own.column(0).to_numpy(), scaled(own.column(1).combine_chunks(), scale), k, blocks, scale)
+        part = _search_block(rows, Queries(own.column(0).to_numpy(), scaled(own.column(1).combine_chunks(), scale)), k, scale)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
