@@ -22,7 +22,7 @@ class Geocoder:
             check_pair(addresses, poi)
         self.gaz, self.rules, self.regions = addresses, rules, regions
         self.blocks = materialize(A.blocks_of(addresses.houses), "blocks")
-        self.cells = materialize(R.cells_of(addresses), "cells")
+        self.nearby = R.nearby_of(addresses)
         self.free = FreeForm(addresses, rules, self.blocks)
         self.poi = FreeForm(poi, rules) if poi is not None else None
 
@@ -41,7 +41,7 @@ class Geocoder:
 
     def reverse(self, points: DataFrame, k: int = 3) -> DataFrame:
         """The nearest addresses of points (point_id, lat, lon)."""
-        return self._regions(R.reverse(points, self.gaz, k, self.cells))
+        return self._regions(R.reverse(points, self.gaz, k, self.nearby))
 
     def _regions(self, answers: DataFrame) -> DataFrame:
         if self.regions is None:

@@ -1,31 +1,72 @@
-"""From points to the nearest addresses."""
+"""From points to the nearest addresses.
+
+Houses stay rows.  They are grouped by the grid cell of their street, which decides whether a point may see them, and by
+a finer tile of their own position.  A point first meets the tiles around it, as boxes with a count: the k-th address can
+be no farther than the far corners of the nearest boxes that hold k, so only boxes that begin within that distance are
+opened, and only houses within it are compared.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from waymark.functions import geo
 from waymark.operators.gazetteer import Gazetteer
+from waymark.runtime import materialize
 
 RINGS = (1, 2, 4)
 ENOUGH = 3
 MAX_K = 100
+#: Tiles of a degree.
+TILES = 500
+#: Metres that rounding of distances may add.
+SLACK = 0.001
 
 
-def cells_of(gaz: Gazetteer) -> DataFrame:
-    """A row for each grid cell: its streets, counted, and all their addresses, each with the spots where it was recorded.
+@dataclass(frozen=True)
+class Nearby:
+    """cells (streets of a grid cell, counted), boxes (of each cell and tile) and houses (with their cell and tile)."""
 
-    A point's search then joins a few rows, whatever the number of houses around it.
-    """
-    spot = F.struct("lon_e7", "lat_e7", "postcode")
-    addresses = gaz.houses.groupBy("street_norm", "code", "numero", "rep").agg(F.collect_list(spot).alias("spots"))
-    placed = addresses.join(gaz.streets.select("street_norm", "code", "cell"), ["street_norm", "code"])
-    entry = F.struct("street_norm", "code", "numero", "rep", "spots")
-    blocks = placed.groupBy("cell").agg(F.collect_list(entry).alias("block"))
-    return gaz.streets.groupBy("cell").agg(F.count(F.lit(1)).alias("n_streets")).join(blocks, "cell")
+    cells: DataFrame
+    boxes: DataFrame
+    houses: DataFrame
+
+
+def nearby_of(gaz: Gazetteer) -> Nearby:
+    """What points are looked up in, written once."""
+    tile = F.floor(F.col("lat_e7") / F.lit(10_000_000 // TILES)).cast("long") * F.lit(1 << 32) + F.floor(F.col("lon_e7") / F.lit(10_000_000 // TILES)).cast("long")
+    houses = gaz.houses.select("street_norm", "code", "numero", "rep", "lon_e7", "lat_e7", "postcode").withColumn("tile", tile)
+    houses = materialize(houses.join(gaz.streets.select("street_norm", "code", "cell"), ["street_norm", "code"]), "nearby-houses")
+    # an address with several positions counts in the tile of one of them: its nearest is no farther than that
+    first = houses.groupBy("cell", "street_norm", "code", "numero", "rep").agg(F.min(F.struct("tile", "lon_e7", "lat_e7")).alias("p"))
+    corner = [f(f"p.{c}").alias(f"{n}_{c[:3]}") for c in ("lat_e7", "lon_e7") for f, n in ((F.min, "least"), (F.max, "most"))]
+    counted = first.groupBy("cell", F.col("p.tile").alias("tile")).agg(F.count(F.lit(1)).alias("n"), *corner)
+    spread = [f(c).alias(f"{n}_{c[:3]}_all") for c in ("lat_e7", "lon_e7") for f, n in ((F.min, "least"), (F.max, "most"))]
+    every = houses.groupBy("cell", "tile").agg(*spread)
+    boxes = materialize(every.join(counted, ["cell", "tile"], "left").fillna(0, ["n"]), "nearby-boxes")
+    return Nearby(materialize(gaz.streets.groupBy("cell").agg(F.count(F.lit(1)).alias("n_streets")), "nearby-cells"), boxes, houses)
 
 
-def reverse(points: DataFrame, gaz: Gazetteer, k: int = 3, cells: DataFrame | None = None) -> DataFrame:
+def _metres(dx: Column, dy: Column) -> Column:
+    dx, dy = dx * 111_320.0 * F.col("_w_cos"), dy * 111_320.0
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def hoods(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """home, cell: the grid cells that points of each home cell see, in the smallest of RINGS with ENOUGH streets (else the largest)."""
+    homes = points.groupBy("home").agg(F.min_by(F.struct("lat", "lon"), F.struct("lat", "lon")).alias("p"))
+    around = homes.select("home", F.explode(geo.cells_around(F.col("p.lat"), F.col("p.lon"), RINGS[-1])).alias("near"))
+    around = around.groupBy("home", "near.cell").agg(F.min("near.ring").alias("ring")).join(cells, "cell")
+    w = W.partitionBy("home")
+    ring = F.lit(RINGS[-1])
+    for r in reversed(RINGS[:-1]):
+        ring = F.when(F.sum(F.when(F.col("ring") <= r, F.col("n_streets")).otherwise(0)).over(w) >= ENOUGH, r).otherwise(ring)
+    return around.withColumn("most", ring).where(F.col("ring") <= F.col("most")).select("home", "cell")
+
+
+def reverse(points: DataFrame, gaz: Gazetteer, k: int = 3, nearby: Nearby | None = None) -> DataFrame:
     """point_id and the k nearest addresses for points (point_id, lat, lon).
 
     Streets are those whose centroid lies in the cells around the point, in the smallest of RINGS that holds ENOUGH
@@ -33,32 +74,33 @@ def reverse(points: DataFrame, gaz: Gazetteer, k: int = 3, cells: DataFrame | No
     Distances count to the micrometre, and ties go to the smaller coordinates.  A point that isn't valid is an error.
     """
     k = min(k, MAX_K)
-    cells = cells if cells is not None else cells_of(gaz)
+    nearby = nearby or nearby_of(gaz)
     ok = geo.valid(F.col("lat"), F.col("lon"))
     points = points.select("point_id", F.when(ok, F.col("lat")).otherwise(F.raise_error(F.lit("coordinates out of range"))).alias("lat"), "lon")
-    around = points.select("point_id", "lat", "lon", F.explode(F.array_distinct(geo.cells_around(F.col("lat"), F.col("lon"), RINGS[-1]))).alias("near"))
-    around = around.select("point_id", "lat", "lon", "near.cell", "near.ring").join(cells.select("cell", "n_streets"), "cell")
-    # a number of its own: rows are few bytes, but each stands for hundreds of distances, so small partitions are not merged
-    around = around.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point_id")
-    w = W.partitionBy("point_id")
-    ring = F.lit(RINGS[-1])
-    for r in reversed(RINGS[:-1]):
-        ring = F.when(F.sum(F.when(F.col("ring") <= r, F.col("n_streets")).otherwise(0)).over(w) >= ENOUGH, r).otherwise(ring)
-    around = around.withColumn("most", ring).where(F.col("ring") <= F.col("most")).select("point_id", "lat", "lon", "cell")
-    around = around.withColumn("_w_cos", F.greatest(F.cos(F.radians("lat")), F.lit(0.01)))
+    points = points.withColumn("home", geo.cell_of(F.col("lat"), F.col("lon")))
+    points = points.withColumn("_w_cos", F.greatest(F.cos(F.radians("lat")), F.lit(0.01)))
+    # distinct home cells and what they see
+    hood = materialize(hoods(points, nearby.cells), "reverse-hoods")
 
-    def distance(s):
-        dx = (s["lon_e7"] / 1e7 - F.col("lon")) * 111_320.0 * F.col("_w_cos")
-        dy = (s["lat_e7"] / 1e7 - F.col("lat")) * 111_320.0
-        # to the micrometre, without the decimals that round() goes through
-        return F.floor(F.sqrt(dx * dx + dy * dy) * 1e6 + F.lit(0.5)) / 1e6
-
-    def nearest(h):
-        spots = F.transform(h["spots"], lambda s: F.struct(distance(s).alias("dist"), s["lon_e7"].alias("lon_e7"), s["lat_e7"].alias("lat_e7"), s["postcode"].alias("postcode")))
-        return F.struct(F.array_min(spots).alias("b"), h["street_norm"].alias("street_norm"), h["code"].alias("code"), h["numero"].alias("numero"), h["rep"].alias("rep"))
+    deg = lambda c: F.col(c) / 1e7
+    gap = lambda lo, hi, at: F.greatest(F.lit(0.0), deg(lo) - F.col(at), F.col(at) - deg(hi))
+    reach = lambda lo, hi, at: F.greatest(F.abs(deg(lo) - F.col(at)), F.abs(deg(hi) - F.col(at)))
+    seen = points.join(hood, "home").join(nearby.boxes, "cell").select(
+        "point_id", "lat", "lon", "_w_cos", "cell", "tile", "n",
+        _metres(gap("least_lon_all", "most_lon_all", "lon"), gap("least_lat_all", "most_lat_all", "lat")).alias("from"),
+        F.when(F.col("n") > 0, _metres(reach("least_lon", "most_lon", "lon"), reach("least_lat", "most_lat", "lat"))).alias("to"),
+    )
+    nearest = W.partitionBy("point_id").orderBy(F.asc_nulls_last("to"), "cell", "tile")
+    so_far = F.sum("n").over(nearest.rowsBetween(W.unboundedPreceding, 0))
+    bound = F.min(F.when(F.col("so_far") >= k, F.col("to"))).over(W.partitionBy("point_id"))
+    opened = seen.withColumn("so_far", so_far).withColumn("bound", F.coalesce(bound, F.lit(float("inf"))) + SLACK).where(F.col("from") <= F.col("bound"))
 
-    best = F.slice(F.array_sort(F.transform("block", nearest)), 1, k)  # a cell's own nearest k are enough
-    near = around.join(cells.select("cell", "block"), "cell").select("point_id", F.explode(best).alias("x")).select("point_id", "x.*")
+    houses = opened.select("point_id", "lat", "lon", "_w_cos", "cell", "tile", "bound").join(nearby.houses, ["cell", "tile"])
+    dist = _metres(deg("lon_e7") - F.col("lon"), deg("lat_e7") - F.col("lat"))
+    # to the micrometre, without the decimals that round() goes through
+    houses = houses.withColumn("dist", F.floor(dist * 1e6 + F.lit(0.5)) / 1e6).where(F.col("dist") <= F.col("bound"))
+    spot = F.struct("dist", "lon_e7", "lat_e7", "postcode")
+    near = houses.groupBy("point_id", "street_norm", "code", "numero", "rep").agg(F.min(spot).alias("b"))
     order = W.partitionBy("point_id").orderBy("b", "street_norm", "code", "numero", "rep")
     near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point_id", "rank", "street_norm", "code", "numero", "rep", "b.*")
     info = gaz.streets.select("street_norm", "code", "street", "commune", "pc_ambiguous", F.col("postcode").alias("s_postcode"))

@@ -472,12 +472,10 @@ def blocks(spark, sf_dir):
 
 
 def cells(spark, sf_dir):
-    """Addresses by grid cell, written once a session."""
-    from waymark.runtime import materialize
-
+    """Houses and boxes by grid cell, written once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, "cells")
     if key not in _blocks:
-        _blocks[key] = materialize(R.cells_of(X.gazetteer(spark, sf_dir)), "cells")
+        _blocks[key] = R.nearby_of(X.gazetteer(spark, sf_dir))
     return _blocks[key]
 
 
