@@ -11,7 +11,7 @@ from waymark.operators.freeform import FreeForm, cascade
 from waymark.operators.gazetteer import Gazetteer, build, check_pair
 from waymark.runtime import materialize
 
-TABLES = ("houses", "streets", "communes", "names", "words")
+TABLES = ("houses", "streets", "communes", "names", "words", "counts", "spelled")
 
 
 class Geocoder:

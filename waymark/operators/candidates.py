@@ -13,6 +13,7 @@ from waymark.functions import words
 from waymark.functions.rules import Rules
 from waymark.operators.gazetteer import WORD_CAP, Gazetteer
 from waymark.operators.places import lookup_communes
+from waymark.runtime import materialize
 
 MANY = 300
 TYPOS = 400
@@ -150,7 +151,12 @@ def typos(splits: DataFrame, keys: list[str], gaz: Gazetteer, rules: Rules = wor
 
 
 def parts(splits: DataFrame, keys: list[str], gaz: Gazetteer, rules: Rules = words.RULES) -> DataFrame:
-    """Streets of the named commune that hold the phrase's words, of which those that would leave nothing are skipped."""
+    """Streets of the named commune that hold the phrase's words, of which those that would leave nothing are skipped.
+
+    What a phrase finds in the whole country doesn't depend on the query, so each distinct phrase is searched once:
+    streets with its rarest word are rows, each with a bit for every further word that it holds, and the distinct bits
+    of a phrase (at most one row for each combination) say which words leave something.
+    """
 
     @F.pandas_udf("array<struct<form: string, plain: boolean>>")
     def forms(s: pd.Series) -> pd.Series:
@@ -164,20 +170,30 @@ def parts(splits: DataFrame, keys: list[str], gaz: Gazetteer, rules: Rules = wor
         return s.map(of)
 
     known = with_communes(splits, gaz, rules)
-    asked = known.select(*keys, "c", "phrase").distinct()
-    asked = asked.select(*keys, "c", F.posexplode(F.filter(F.split("phrase", " "), lambda w: F.length(w) >= 3)).alias("at", "word"))
+    asked = known.select("phrase").distinct()
+    asked = asked.select("phrase", F.posexplode(F.filter(F.split("phrase", " "), lambda w: F.length(w) >= 3)).alias("at", "word"))
     tried = asked.join(asked.select("word").distinct().select("word", F.explode(forms("word")).alias("f")).select("word", "f.*"), "word")
-    counts = gaz.words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < WORD_CAP).withColumnRenamed("word", "form")
-    tried = tried.join(counts, "form")
-    best = tried.groupBy(*keys, "c", "at").agg(F.min_by(F.struct("form", "plain", "n"), F.struct("n", "form")).alias("b")).select(*keys, "c", "at", "b.*")
-    lists = gaz.words.groupBy("word").agg(F.collect_set(F.struct("street_norm", "code")).alias("streets")).withColumnRenamed("word", "form")
-    held = best.join(lists, "form").groupBy(*keys, "c").agg(
-        F.array_sort(F.collect_list(F.struct("n", "form", "streets"))).alias("sets"), F.count(F.lit(1)).alias("n_sets"), F.bool_or("plain").alias("plain")
+    tried = tried.join(gaz.counts.where(F.col("n") < WORD_CAP).withColumnRenamed("word", "form"), "form")
+    best = tried.groupBy("phrase", "at").agg(F.min_by(F.struct("form", "plain", "n"), F.struct("n", "form")).alias("b")).select("phrase", "b.*")
+    held = best.groupBy("phrase").agg(
+        F.array_sort(F.collect_list(F.struct("n", "form"))).alias("sets"), F.count(F.lit(1)).alias("n_sets"), F.bool_or("plain").alias("plain")
     )
-    both = lambda acc, s: F.array_intersect(acc, s["streets"])
-    fold = F.aggregate("sets", F.get(F.col("sets"), F.lit(0))["streets"], lambda acc, s: F.when(F.size(both(acc, s)) > 0, both(acc, s)).otherwise(acc))
-    left = held.where("plain").select(*keys, "c", "n_sets", F.explode(fold).alias("s")).select(*keys, "c", "n_sets", "s.street_norm", F.col("s.code").alias("s_code"))
-    left = left.join(known.select(*keys, "c", "code", "exact").distinct(), [*keys, "c"]).where(F.col("code") == F.col("s_code"))
+    held = materialize(held.where("plain").select("phrase", "n_sets", F.transform("sets", lambda s: s["form"]).alias("forms")), "parts-phrases")
+    postings = gaz.words.withColumnRenamed("word", "form")
+    many = held.where("n_sets > 1").withColumn("form", F.get("forms", F.lit(0))).join(postings, "form").join(gaz.spelled, ["street_norm", "code"])
+    bits = F.concat_ws("", F.transform("forms", lambda f: F.when(F.array_contains("own", f), "1").otherwise("0")))
+    many = materialize(many.select("phrase", "n_sets", "street_norm", F.col("code").alias("s_code"), bits.alias("bits")), "parts-bits")
+    found = many.groupBy("phrase").agg(F.collect_set("bits").alias("kinds"), F.max("n_sets").cast("int").alias("size"))
+
+    def with_word(kinds, i):
+        return F.filter(kinds, lambda b: F.substring(b, i, F.lit(1)) == "1")
+
+    left = F.aggregate(F.sequence(F.lit(1), F.col("size")), F.col("kinds"), lambda acc, i: F.when(F.size(with_word(acc, i)) > 0, with_word(acc, i)).otherwise(acc))
+    # the kinds that are left differ only where a word was skipped, and all that hold the other words are among them
+    many = many.join(found.select("phrase", F.explode(left).alias("bits")), ["phrase", "bits"]).drop("bits")
+    single = held.where("n_sets = 1").withColumn("form", F.get("forms", F.lit(0))).join(postings, "form").select("phrase", "n_sets", "street_norm", F.col("code").alias("s_code"))
+    streets = many.unionByName(single)
+    left = known.select(*keys, "c", "phrase", "code", "exact").distinct().join(streets, "phrase").where(F.col("code") == F.col("s_code"))
     w = W.partitionBy(*keys, "c")
     left = left.withColumn("many", F.count(F.lit(1)).over(w)).where((F.col("n_sets") > 1) | (F.col("many") <= SINGLE_WORD))
     left = left.withColumn("_w_n", F.row_number().over(w.orderBy("street_norm", "code"))).where(F.col("_w_n") <= PARTS)

@@ -18,13 +18,15 @@ PREFIX_CAP = 40
 
 @dataclass(frozen=True)
 class Gazetteer:
-    """houses (a row each), streets, communes, names (of communes, many to many) and words (of streets)."""
+    """houses (a row each), streets, communes, names (of communes, many to many), words (of streets), their counts, and streets with all their words."""
 
     houses: DataFrame
     streets: DataFrame
     communes: DataFrame
     names: DataFrame
     words: DataFrame
+    counts: DataFrame
+    spelled: DataFrame
     country: str | None = None
     layer: str | None = None
 
@@ -123,6 +125,16 @@ def prefixes_of(names: DataFrame, cap: int = PREFIX_CAP) -> DataFrame:
     return spread.withColumn("_w_n", F.row_number().over(order)).where(F.col("_w_n") <= cap).select("prefix", "code").distinct()
 
 
+def counts_of(words: DataFrame) -> DataFrame:
+    """word, n: how many streets have it."""
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spelled_of(words: DataFrame) -> DataFrame:
+    """street_norm, code, own: a street with all its words."""
+    return words.groupBy("street_norm", "code").agg(F.collect_set("word").alias("own"))
+
+
 def build(rows: DataFrame, country: str | None = None, layer: str | None = None) -> Gazetteer:
     """All tables, each written once to the shared folder."""
     from waymark.runtime import materialize
@@ -130,7 +142,11 @@ def build(rows: DataFrame, country: str | None = None, layer: str | None = None)
     rows = clean(rows)
     houses = materialize(houses_of(rows), "houses")
     streets = materialize(streets_of(houses), "streets")
-    return Gazetteer(houses, streets, materialize(communes_of(streets), "communes"), materialize(names_of(rows), "names"), materialize(words_of(streets), "words"), country, layer)
+    words = materialize(words_of(streets), "words")
+    return Gazetteer(
+        houses, streets, materialize(communes_of(streets), "communes"), materialize(names_of(rows), "names"), words,
+        materialize(counts_of(words), "counts"), materialize(spelled_of(words), "spelled"), country, layer,
+    )
 
 
 def check_pair(addresses: Gazetteer, poi: Gazetteer) -> None:
