@@ -13,7 +13,7 @@ from waymark.functions import words
 from waymark.functions.rules import Rules
 from waymark.operators.gazetteer import WORD_CAP, Gazetteer
 from waymark.operators.places import lookup_communes
-from waymark.runtime import materialize
+from waymark.runtime import materialize, spread
 
 MANY = 300
 TYPOS = 400
@@ -84,6 +84,13 @@ def word_neighbours(left: DataFrame, right: DataFrame) -> DataFrame:
     return side(left, "word").join(side(right, "other"), "_w_key").select("word", "other").distinct()
 
 
+def may_be_typo(phrase, name):
+    """Needed for two edits or fewer between the phrase and the name or a beginning of it: of three pieces of the phrase one is whole in the name."""
+    third = F.floor(F.length(phrase) / 3).cast("int")
+    whole = lambda start, size: name.contains(F.substring(phrase, start, size))
+    return (F.length(name) >= F.length(phrase) - 2) & (whole(F.lit(1), third) | whole(third + 1, third) | whole(2 * third + 1, F.length(phrase)))
+
+
 def typos(splits: DataFrame, keys: list[str], gaz: Gazetteer, rules: Rules = words.RULES) -> DataFrame:
     """Streets whose name is within an edit of the phrase, or begins with it within one or two edits.
 
@@ -92,18 +99,19 @@ def typos(splits: DataFrame, keys: list[str], gaz: Gazetteer, rules: Rules = wor
     """
     n = F.length("phrase")
     usable = splits.where(n >= 5).withColumn("most", F.when(n <= 11, 1).otherwise(2))
-    known = with_communes(usable, gaz, rules)
+    # read several times below
+    known = materialize(with_communes(usable, gaz, rules), "typos-known")
     rows = known.select(*keys, "c", "phrase", "most", "query_pc", "code", "exact").unionByName(
         usable.where("c = 0").select(*keys, "c", "phrase", "most", "query_pc", F.lit(None).cast("string").alias("code"), F.lit(False).alias("exact"))
     )
     affixes = [*rules.types_cyrillic, *rules.types_latin, *rules.types_extra, *rules.affix_extra]
     every = F.filter(F.split("phrase", " "), lambda w: w != "")
     content = F.filter(every, lambda w: (F.length(w) >= 3) & ~w.isin(affixes))
-    phrases = rows.select("phrase").distinct().withColumn("content", content)
+    phrases = materialize(rows.select("phrase").distinct().withColumn("content", content), "typos-phrases")
     asked = phrases.select("phrase", F.explode(F.when(F.size("content") > 0, F.col("content")).otherwise(every)).alias("word"))
     named = gaz.streets.select("street_norm").distinct().select("street_norm", F.explode(F.array_distinct(F.split("street_norm", " "))).alias("word"))
-    near = asked.join(word_neighbours(asked, named), "word")
-    names = near.join(named.withColumnRenamed("word", "other"), "other")
+    near = spread(asked.join(materialize(word_neighbours(asked, named), "typos-words"), "word"), "phrase")  # each row meets all names with its word
+    names = near.join(named.withColumnRenamed("word", "other"), "other").where(may_be_typo(F.col("phrase"), F.col("street_norm")))
     names = names.withColumn("close", F.levenshtein("word", "other") <= 1).groupBy("phrase", "street_norm").agg(F.bool_or("close").alias("close"))
     names = names.join(phrases, "phrase")
     size, own = F.length("phrase"), F.length("street_norm")
@@ -126,6 +134,7 @@ def typos(splits: DataFrame, keys: list[str], gaz: Gazetteer, rules: Rules = wor
     names = names.withColumn("one", shorter | swap).withColumn("any_one", shorter | swap | wider)
     gate = ascii_ & (F.col("close") | (F.size("content") == 0))
     names = names.withColumn("start", gate & F.when(size <= 11, begins(1)).otherwise(begins(2))).where("any_one OR start").drop("content", "close")
+    names = materialize(names, "typos-names")
     streets = gaz.streets.select("street_norm", F.col("code").alias("s_code"), "pc_num")
     pairs = rows.join(names, "phrase").join(streets, "street_norm").where(F.col("code").isNull() | (F.col("code") == F.col("s_code")))
     here = F.col("query_pc").isNull() | (F.col("pc_num") == 0) | (F.floor(F.col("pc_num") / 1000) == F.floor(F.col("query_pc") / 1000)) | F.col("code").isNotNull()

@@ -102,6 +102,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all tasks, where few bytes stand for much work; the number keeps small partitions from being merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
