@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -56,28 +56,35 @@ def outside(rows: DataFrame, retained: DataFrame, key: str, spot: str) -> DataFr
 def greedy(rows: DataFrame, by: str, quota: int, keys: list[str], caps: dict[str, int], order: list[str]) -> DataFrame:
     """Up to ``quota`` rows a group, taken in order; a row that repeats a key or exceeds a cap is passed over.
 
-    Each choice depends on those before it, so a group is one task; ``rows`` should hold a bounded sample of each
-    group (such as top_n), as groups are countries.
+    Of rows that are alike in all keys and caps only the first can be taken, unless there are no keys: then the first
+    rows up to the smallest cap.  Those are found with partial sorts; what is left of a group streams through one task
+    in order, which remembers no more than the rows that it takes.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        seen = {k: set() for k in keys}
-        used = {c: Counter() for c in caps}
-        taken = []
-        for i, row in enumerate(pdf.to_dict("records")):
-            if len(taken) == quota:
-                break
-            if any(row[k] in seen[k] for k in keys) or any(used[c][row[c]] >= cap for c, cap in caps.items()):
-                continue
-            for k in keys:
-                seen[k].add(row[k])
-            for c in caps:
-                used[c][row[c]] += 1
-            taken.append(i)
-        return pdf.iloc[taken]
-
-    return rows.groupBy(by).applyInPandas(pick, rows.schema)
+    from waymark.runtime import ship
+
+    most = 1 if keys else min([quota, *caps.values()])
+    first = top_n(rows, [by, *keys, *caps], [F.col(c) for c in order], most)
+    dealt = first.repartition(by).sortWithinPartitions(by, *order)
+    ship(rows.sparkSession)
+
+    def pick(batches):
+        group, count, seen, used = None, 0, set(), Counter()
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in {by, *keys, *caps}}
+            taken = []
+            for i, g in enumerate(cols[by]):
+                if i == 0 and group is None or g != group[0]:
+                    group, count, seen, used = (g,), 0, set(), Counter()
+                own = [(k, cols[k][i]) for k in keys]
+                held = [(c, cols[c][i]) for c in caps]
+                if count < quota and not any(x in seen for x in own) and all(used[x] < caps[x[0]] for x in held):
+                    seen.update(own)
+                    used.update(held)
+                    count += 1
+                    taken.append(i)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return dealt.mapInArrow(pick, rows.schema)
 
 
 def first_wins(rows: DataFrame, by: str, keys: list[str], order: list[str]) -> DataFrame:

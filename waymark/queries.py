@@ -143,10 +143,16 @@ def unglue_variant(spark, sf_dir):
     return X.table(spark, sf_dir, "part").select("p_partkey", text.unglue(F.concat(F.lit("kiet c"), F.col("p_size").cast("string"), F.lit(" "), "p_name")).alias("unglued"))
 
 
-@query("strip_phone_runs", """
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'anna visser' ELSE 'anna visser 06 81 22' END AS stripped FROM customer""")
+_PHONES = """SELECT c_custkey, 'anna ' || array_to_string(list_transform(range(0, c_custkey % 9), lambda i: CASE WHEN c_custkey % 11 = 0 AND i = 2 THEN 'bis' ELSE CAST((c_custkey * (i + 3)) % 1103 AS VARCHAR) END), ' ') || ' visser' || CASE WHEN c_custkey % 4 = 0 THEN ' 06 81 22 64' ELSE ' 12345 6' END AS raw FROM customer"""
+
+
+@query("strip_phone_runs", f"SELECT c_custkey, trim(regexp_replace(regexp_replace(raw || ' ', '(^| )(?:[0-9]{{1,4}} ){{4,}}', '\\1', 'g'), ' +', ' ', 'g')) AS stripped FROM ({_PHONES})")
 def strip_phone_runs(spark, sf_dir):
-    raw = F.when(F.col("c_custkey") % 2 == 0, "anna visser 06 81 22 64 90").otherwise("anna visser 06 81 22")
+    """Runs of four short numbers or more go, wherever they stand."""
+    k = F.col("c_custkey")
+    part = lambda i: F.when((k % 11 == 0) & (i == 2), "bis").otherwise(((k * (i + 3)) % 1103).cast("string"))
+    groups = F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long")), F.lit(1), (k % 9).cast("int")), part)
+    raw = F.concat(F.lit("anna "), F.array_join(groups, " "), F.lit(" visser"), F.when(k % 4 == 0, " 06 81 22 64").otherwise(" 12345 6"))
     return X.table(spark, sf_dir, "customer").select("c_custkey", text.strip_phone_runs(raw).alias("stripped"))
 
 
@@ -314,31 +320,16 @@ def alias_explode(spark, sf_dir):
     return canon.name_variants(rows, ["name", "name:ru", "alt", "old"]).select(F.col("lat").alias("k"), "nm")
 
 
-@query("anti_not_in", "SELECT p_partkey, p_name AS nm FROM part WHERE p_partkey % 2 = 0 AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 5 = 1 AND p_name IS NOT NULL)")
+@query("anti_not_in", "SELECT p_partkey, p_name AS nm FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_name LIKE 's%')")
 def anti_not_in(spark, sf_dir):
     part = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("nm"))
-    return canon.new_names(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 5 = 1").select(F.upper("nm").alias("nm")))
-
-
-@query("anti_not_in_whole", "SELECT p_partkey, p_name AS nm FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 5 = 1 AND p_name IS NOT NULL)")
-def anti_not_in_whole(spark, sf_dir):
-    part = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("nm"))
-    return canon.new_names(part, part.where("p_partkey % 5 = 1").select(F.upper("nm").alias("nm")))
+    return canon.new_names(part, part.where("nm LIKE 's%'").select(F.upper("nm").alias("nm")))
 
 
 @query("anti_not_exists_like", """
-WITH a AS (SELECT p_partkey, p_size AS number, p_name AS name FROM part WHERE p_partkey % 2 = 0), k AS (SELECT DISTINCT p_size AS number, split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 7 = 1)
-SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.number = a.number AND (k.name LIKE '%' || a.name || '%' OR a.name LIKE '%' || k.name || '%'))""")
-def anti_not_exists_like(spark, sf_dir):
-    part = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("number"), F.col("p_name").alias("name"))
-    known = part.where("p_partkey % 7 = 1").select("number", F.substring_index("name", " ", 1).alias("name"))
-    return canon.gaps(part.where("p_partkey % 2 = 0"), known)
-
-
-@query("anti_not_exists_like_whole", """
 WITH a AS (SELECT p_partkey, p_size AS number, p_name AS name FROM part), k AS (SELECT DISTINCT p_size AS number, split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 7 = 1)
 SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.number = a.number AND (k.name LIKE '%' || a.name || '%' OR a.name LIKE '%' || k.name || '%'))""")
-def anti_not_exists_like_whole(spark, sf_dir):
+def anti_not_exists_like(spark, sf_dir):
     part = X.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("number"), F.col("p_name").alias("name"))
     return canon.gaps(part, part.where("p_partkey % 7 = 1").select("number", F.substring_index("name", " ", 1).alias("name")))
 
@@ -361,14 +352,8 @@ def ways_and_nodes(spark, sf_dir):
     return ways, nodes
 
 
-@query("semi_referenced", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)")
+@query("semi_referenced", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def semi_referenced(spark, sf_dir):
-    refs = X.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_partkey").alias("id")).distinct()
-    return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).join(refs, "id", "left_semi")
-
-
-@query("semi_referenced_whole", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
-def semi_referenced_whole(spark, sf_dir):
     refs = X.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
     return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).join(refs, "id", "left_semi")
 
@@ -528,13 +513,21 @@ def homonyms(spark, sf_dir):
 
 @query("department_filter", f"WITH {_HOMONYMS} SELECT query_id, code FROM c JOIN q USING (query_id) WHERE pc_num = 0 OR pc_num // 1000 = pc // 1000")
 def department_filter(spark, sf_dir):
-    return homonyms(spark, sf_dir).where((F.col("pc_num") == 0) | (F.floor(F.col("pc_num") / 1000) == F.floor(F.col("pc") / 1000))).select("query_id", "code")
+    """What the free-form search keeps of its candidates: none of another department."""
+    rows = homonyms(spark, sf_dir).select("query_id", F.lit(0).alias("attempt"), "code", "street_norm", "pc_num", F.col("pc").alias("query_pc"), F.col("score").alias("legacy"))
+    return freeform(spark, sf_dir)._cut(rows, structured.MAX_K).select("query_id", "code")
 
 
-@query("homonym_rank", f"WITH {_HOMONYMS} SELECT query_id, code, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prominence DESC, code) AS INTEGER) AS rank FROM c QUALIFY rank <= 5")
+@query("homonym_rank", f"""
+WITH {_HOMONYMS}, o AS (SELECT c.*, CASE WHEN c.postcode = '' THEN NULL ELSE abs(CAST(c.postcode AS INTEGER) - q.pc) END AS away FROM c JOIN q USING (query_id))
+SELECT query_id, code, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, away ASC NULLS LAST, prominence DESC, code) AS INTEGER) AS rank FROM o QUALIFY rank <= 5""")
 def homonym_rank(spark, sf_dir):
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("prominence"), "code")
-    return homonyms(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "code", "score", "rank")
+    """The engine's order, where names, houses and anchors are alike: score, postcode, prominence, code."""
+    rows = homonyms(spark, sf_dir).withColumns({
+        "query_pc": F.col("pc"), "name_sim": F.lit(100), "snap": F.lit(0), "anchor_km": F.lit(0.0), "confidence": F.lit(0.5), "lat": F.col("lat_e7") / 1e7, "lon": F.col("lon_e7") / 1e7,
+        "flags": F.array().cast("array<string>"), "street_exact": F.lit(True), "named": F.lit(True),
+    })
+    return A.ranked(rows, ["query_id"], 5, capital=False).select("query_id", "code", "score", "rank")
 
 
 def ranked_homonyms(spark, sf_dir):
@@ -595,6 +588,12 @@ def word_subset(spark, sf_dir):
     return parts(phrases_of_streets(spark, sf_dir, last), ["query_id"], X.gazetteer(spark, sf_dir)).select("query_id", "street_norm", "code")
 
 
+def plain_lines(spark, sf_dir):
+    q = X.structured_queries(spark, sf_dir)
+    line = F.trim(F.regexp_replace(F.concat_ws(" ", F.coalesce("number", F.lit("")), "street", F.coalesce("postcode", F.lit("")), "city"), " +", " "))
+    return q.select("query_id", line.alias("q"))
+
+
 def freeform(spark, sf_dir) -> FreeForm:
     return FreeForm(X.gazetteer(spark, sf_dir), blocks=blocks(spark, sf_dir))
 
@@ -602,9 +601,7 @@ def freeform(spark, sf_dir) -> FreeForm:
 @query("freeform_plain", f"WITH {_MATCHED} SELECT {_HIT} FROM z")
 def freeform_plain(spark, sf_dir):
     """Number, street, postcode and city in one line: the answer is that of the structured query."""
-    q = X.structured_queries(spark, sf_dir)
-    line = F.trim(F.regexp_replace(F.concat_ws(" ", F.coalesce("number", F.lit("")), "street", F.coalesce("postcode", F.lit("")), "city"), " +", " "))
-    return hits(freeform(spark, sf_dir).geocode(q.select("query_id", line.alias("q")), 1))
+    return hits(freeform(spark, sf_dir).geocode(plain_lines(spark, sf_dir), 1))
 
 
 @query("freeform_geocode")
@@ -612,7 +609,12 @@ def freeform_geocode(spark, sf_dir):
     return hits(freeform(spark, sf_dir).geocode(X.freeform_queries(spark, sf_dir).select("query_id", "q"), 1))
 
 
-@query("focus_geocode")
+@query("focus_geocode", f"""
+WITH {X.GAZETTEER}, {X.STRUCTURED},
+m AS (SELECT a.query_id, s.*, {sql_km('a.lat', 'a.lon', 's.lat_e7 / 1e7', 's.lon_e7 / 1e7')} AS km, p.prominence FROM asked a JOIN streets s ON s.street_norm = lower(a.street) JOIN communes p USING (code)),
+r AS (SELECT *, row_number() OVER w AS n, lead(lat_e7 / 1e7) OVER w AS lat2, lead(lon_e7 / 1e7) OVER w AS lon2 FROM m WINDOW w AS (PARTITION BY query_id ORDER BY km, prominence DESC, code))
+SELECT query_id, 'street' AS precision, 3 AS score, round(100.0 / (1.0 + exp(2.748 + 0.222 - 0.899))) / 100.0 AS confidence, street, CAST(NULL AS VARCHAR) AS housenumber, commune, postcode,
+ lat_e7, lon_e7, 'street_exact' || CASE WHEN coalesce({sql_km('lat_e7 / 1e7', 'lon_e7 / 1e7', 'lat2', 'lon2')} > 50, FALSE) THEN ',ambiguous_far' ELSE '' END AS flags FROM r WHERE n = 1""")
 def focus_geocode(spark, sf_dir):
     """Street names without a city, near a point: the point decides between homonyms."""
     q = X.structured_queries(spark, sf_dir).select("query_id", F.col("street").alias("q"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
@@ -628,11 +630,15 @@ def poi_gazetteer(spark, sf_dir):
     return G.build(canon.poi_rows(raw), layer="poi")
 
 
-@query("poi_cascade")
+@query("poi_cascade", f"""
+WITH {_MATCHED} SELECT -query_id - 1 AS {_HIT} FROM z UNION ALL
+SELECT s_suppkey, 'street', 6, round(100.0 / (1.0 + exp(2.748 + 0.222 - 0.899 - 2.360))) / 100.0, 'Cafe ' || s_name, NULL, 'NATION_' || s_nationkey, '', 400000000 + s_nationkey * 5000000, 20000000 + s_nationkey * 4000000,
+ 'street_exact,commune_exact,poi_layer' FROM supplier""")
 def poi_cascade(spark, sf_dir):
-    """Names of suppliers and addresses: the first are found in the layer of points of interest only."""
+    """Names of suppliers and addresses: the first are found in the layer of points of interest only, the others keep their answers."""
     s = X.table(spark, sf_dir, "supplier")
     q = s.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("cafe "), F.lower("s_name"), F.lit(" nation_"), F.col("s_nationkey").cast("string")).alias("q"))
+    q = q.unionByName(plain_lines(spark, sf_dir).select((-F.col("query_id") - 1).alias("query_id"), "q"))
     first = freeform(spark, sf_dir).geocode(q, 1)
     return hits(cascade(first, q, FreeForm(poi_gazetteer(spark, sf_dir)), 1))
 
@@ -735,9 +741,12 @@ def paired_contingency(spark, sf_dir):
     return E.paired(compared(spark, sf_dir), ["country"])
 
 
-@query("mcnemar_exact")
+@query("mcnemar_exact", f"""
+WITH {_TRUTH}, p AS (SELECT country, {_PAIRED} FROM ja JOIN jb USING (query_id) GROUP BY country), b AS (SELECT *, only_a + only_b AS n, least(only_a, only_b) AS k FROM p)
+SELECT country, cases, both_hit, only_a, only_b, both_miss,
+ round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 8) AS p_value FROM b""")
 def mcnemar_exact(spark, sf_dir):
-    return E.mcnemar(E.paired(compared(spark, sf_dir), ["country"]))
+    return E.mcnemar(E.paired(compared(spark, sf_dir), ["country"])).withColumn("p_value", F.round("p_value", 8))
 
 
 @query("region_spread", f"""
@@ -756,18 +765,9 @@ def upper_median(spark, sf_dir):
 
 
 @query("filled_counts", """
-WITH a AS (SELECT DISTINCT o_orderpriority AS p FROM orders), b AS (SELECT DISTINCT n_name AS nm FROM nation), o AS (SELECT o_orderpriority AS p, n_name AS nm, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0 GROUP BY ALL),
-x AS (SELECT DISTINCT p FROM o), y AS (SELECT DISTINCT nm FROM o) SELECT p, nm, coalesce(n, 0) AS n FROM x CROSS JOIN y LEFT JOIN o USING (p, nm)""")
-def filled_counts(spark, sf_dir):
-    o = X.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").join(X.table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    o = o.join(X.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return E.filled_counts(o.select(F.col("o_orderpriority").alias("p"), F.col("n_name").alias("nm")), "p", "nm")
-
-
-@query("filled_counts_whole", """
 WITH o AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, n_name AS nm, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
 x AS (SELECT DISTINCT d FROM o), y AS (SELECT DISTINCT nm FROM o) SELECT d, nm, coalesce(n, 0) AS n FROM x CROSS JOIN y LEFT JOIN o USING (d, nm)""")
-def filled_counts_whole(spark, sf_dir):
+def filled_counts(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders").join(X.table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     o = o.join(X.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return E.filled_counts(o.select(F.col("o_orderdate").cast("date").cast("string").alias("d"), F.col("n_name").alias("nm")), "d", "nm")
@@ -831,11 +831,17 @@ def truth_faults(spark, sf_dir):
     return E.truth_faults(rows)
 
 
-@query("greedy_quota")
+@query("greedy_quota", f"""
+WITH RECURSIVE {X.ADDRESSES}, r AS (SELECT code, part, street_norm, numero, row_number() OVER (PARTITION BY code ORDER BY sha256('greedy|' || part)) AS n FROM addresses),
+g AS (SELECT DISTINCT code, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS streets, CAST([] AS BIGINT[]) AS numbers, CAST([] AS BIGINT[]) AS parts FROM r
+ UNION ALL SELECT code, n, CASE WHEN ok THEN list_append(streets, street_norm) ELSE streets END, CASE WHEN ok THEN list_append(numbers, numero) ELSE numbers END, CASE WHEN ok THEN list_append(parts, part) ELSE parts END
+ FROM (SELECT g.code, r.n, g.streets, g.numbers, g.parts, r.street_norm, r.numero, r.part,
+   len(g.parts) < 30 AND NOT list_contains(g.streets, r.street_norm) AND len(list_filter(g.numbers, lambda x: x = r.numero)) < 2 AS ok FROM g JOIN r ON r.code = g.code AND r.n = g.n + 1))
+SELECT code, unnest(parts) AS part FROM g QUALIFY n = max(n) OVER (PARTITION BY code)""")
 def greedy_quota(spark, sf_dir):
-    """Thirty rows a commune: no street twice, at most two of a number, in hash order among the first two hundred."""
+    """Thirty rows a commune: no street twice, at most two of a number, in hash order."""
     rows = X.addresses(spark, sf_dir).select("code", "part", "street_norm", "numero").withColumn("turn", S.hash_order("greedy", F.col("part").cast("string")))
-    return S.greedy(S.top_n(rows, ["code"], [F.col("turn")], 200), "code", 30, ["street_norm"], {"numero": 2}, ["turn"]).select("code", "part")
+    return S.greedy(rows, "code", 30, ["street_norm"], {"numero": 2}, ["turn"]).select("code", "part")
 
 
 @query("quota_select", f"WITH {X.ADDRESSES} SELECT code, part FROM addresses QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN rep = '' THEN 0 ELSE 1 END, sha256('q|' || part), part) <= 8")
@@ -881,10 +887,10 @@ def dump_features(spark, sf_dir):
 # more adapters and lookups
 
 @query("fit_bytes", """
-WITH d AS (SELECT doc_id, left(text, 300) AS t FROM documents)
+WITH d AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, CASE WHEN strlen(t) <= 255 THEN t ELSE left(t, list_max(list_filter(range(0, 256), lambda n: strlen(left(t, n)) <= 255))) END AS short FROM d""")
 def fit_bytes(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").select("doc_id", text.fit_bytes(F.left("text", F.lit(300))).alias("short"))
+    return X.table(spark, sf_dir, "documents").select("doc_id", text.fit_bytes(F.col("text")).alias("short"))
 
 
 @query("nested_levels", """
