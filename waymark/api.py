@@ -106,3 +106,13 @@ def geocode_sql(spark: SparkSession, geocoder: Geocoder, table: str, key: str, t
     best = best.select("query_id", F.to_json(F.struct(*[c for c in best.columns if c not in ("query_id", "rank")])).alias("answer"))
     out = rows.join(best, "query_id", "left")
     return out.select(F.col("query_id").alias(key), F.when(F.col("q").isNotNull(), F.coalesce("answer", F.lit("{}"))).alias("answer"))
+
+
+def reverse_sql(spark: SparkSession, geocoder: Geocoder, table: str, key: str, lat: str, lon: str) -> DataFrame:
+    """key and the nearest address as JSON ('{}' where none is near, null where a coordinate is null), for a table or view known to SQL."""
+    rows = spark.table(table).select(F.col(key).alias("point_id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    asked = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    best = geocoder.reverse(rows.where(asked), 1)
+    best = best.select("point_id", F.to_json(F.struct(*[c for c in best.columns if c not in ("point_id", "rank")])).alias("answer"))
+    out = rows.join(best, "point_id", "left")
+    return out.select(F.col("point_id").alias(key), F.when(asked, F.coalesce("answer", F.lit("{}"))).alias("answer"))

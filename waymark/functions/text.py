@@ -1,9 +1,10 @@
-"""Column expressions for text: normalisation, house numbers, names.  All run inside code generation."""
+"""Column expressions for text: normalisation, house numbers, names.  All but truth_key() of text beyond ASCII stay in the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -113,6 +114,24 @@ def address_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
+def truth_key(c: Column) -> Column:
+    """Words of letters and digits after case folding and compatibility composition, one space between them.
+
+    ASCII text stays in column functions; only other text goes through Python, where Unicode's tables are.
+    """
+
+    @F.pandas_udf("string")
+    def folded(s: pd.Series) -> pd.Series:
+        def one(x):
+            whole = unicodedata.normalize("NFKC", x.casefold())
+            return " ".join("".join(ch if ch.isalnum() else " " for ch in whole).split())
+
+        return s.map(one, na_action="ignore")
+
+    plain = F.coalesce(c.rlike(r"^[\x00-\x7F]*\z"), F.lit(True))
+    return F.when(plain, F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))).otherwise(folded(F.when(~plain, c)))
+
+
 def without_numbers(c: Column) -> Column:
     return spaced(F.regexp_replace(c, r"\b\d+[\w/-]*\b", " "))
 

@@ -158,3 +158,54 @@ def license_gate(sources: list[dict]) -> None:
     bad = [s for s in sources if any(w in s.get("license", "").lower() for w in ("odbl", "gpl", "share-alike", "sharealike", "cc-by-sa", "cc by-sa"))]
     if bad:
         raise ValueError(f"sources with share-alike licences: {[s.get('name') for s in bad]}")
+
+
+# fixed values: the tags that name a street, a town and a kind of place, the first that is there counts
+STREET_TAGS = ("addr:street", "addr:place")
+TOWN_TAGS = ("addr:city", "addr:town", "addr:village", "addr:municipality", "addr:district", "addr:suburb")
+KIND_TAGS = ("amenity", "shop", "office", "tourism", "craft", "leisure", "healthcare")
+NETWORK_TAGS = ("brand", "network", "operator")
+GONE_TAGS = ("disused", "abandoned", "demolished")
+
+
+def first_tag(tags: Column, keys: tuple[str, ...]) -> Column:
+    return F.trim(F.coalesce(*[tags[k] for k in keys]))
+
+
+def tag_used(tags: Column, keys: tuple[str, ...]) -> Column:
+    """The first key whose value isn't blank, else the last."""
+    which = F.lit(keys[-1])
+    for k in reversed(keys[:-1]):
+        which = F.when(F.trim(tags[k]) != "", k).otherwise(which)
+    return which
+
+
+def category(tags: Column) -> Column:
+    """key:value of the first kind of place that isn't blank, else empty."""
+    value = lambda k: F.trim(F.regexp_replace(tags[k], r"\s+", " "))
+    return F.coalesce(*[F.when(value(k) != "", F.concat(F.lit(f"{k}:"), value(k))) for k in KIND_TAGS], F.lit(""))
+
+
+def address_candidates(osm: DataFrame) -> DataFrame:
+    """Nodes with a house number, a street and a town that still stand, as addresses that truth can be drawn from."""
+    t = F.col("tags")
+    kept = osm.where((F.col("kind") == "node") & F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    kept = kept.where((F.trim(t["addr:housenumber"]) != "") & (first_tag(t, STREET_TAGS) != "") & (first_tag(t, TOWN_TAGS) != ""))
+    for k in GONE_TAGS:
+        kept = kept.where(t[k].isNull())
+    text_of = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    return kept.select(
+        F.col("id").alias("object_id"), first_tag(t, STREET_TAGS).alias("street"), tag_used(t, STREET_TAGS).alias("street_tag"),
+        F.trim(t["addr:housenumber"]).alias("house_number"), text_of(t["addr:postcode"]).alias("postcode"), first_tag(t, TOWN_TAGS).alias("municipality"),
+        tag_used(t, TOWN_TAGS).alias("municipality_tag"), text_of(t["addr:country"]).alias("tagged_country"), category(t).alias("category"),
+        F.coalesce(*[F.trim(t[k]) for k in NETWORK_TAGS], F.lit("")).alias("network"), "lat", "lon",
+    )
+
+
+def total_rows(*tables: DataFrame) -> DataFrame:
+    """One row: how many rows all tables have."""
+    counts = [t.agg(F.count(F.lit(1)).alias("n")) for t in tables]
+    whole = counts[0]
+    for c in counts[1:]:
+        whole = whole.unionByName(c)
+    return whole.agg(F.sum("n").alias("n"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions import geo
@@ -81,12 +83,27 @@ def spread(rates: DataFrame, by: str, region: str, rate: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """The middle element, the upper of two, never a mean: found by rank, so that no group meets in one list."""
+    """The middle element, the upper of two, never a mean.
+
+    Values are sorted into ranges over all tasks; the sizes of the ranges say which range holds a group's middle, and
+    only the rows of that range are numbered.  So no group is sorted by one task.
+    """
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_w_n", F.row_number().over(w.orderBy(value))).withColumn("_w_c", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_w_n") == F.floor(F.col("_w_c") / 2) + 1).select(by, F.col(value).alias("median"))
+    from waymark.runtime import materialize
+
+    known = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
+    # written, since ranges come from a sample; equal values share a range
+    ranged = materialize(known.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "median-ranges")
+    sizes = ranged.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("g")
+    before = F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    middle = F.floor(F.sum("n").over(w) / 2)
+    found = sizes.select("g", "part", "n", (middle - before).alias("at")).where((F.col("at") >= 0) & (F.col("at") < F.col("n")))
+    found = found.select(F.col("g").alias("_w_g"), F.col("part").alias("_w_part"), "at")
+    inner = ranged.join(found, F.col("g").eqNullSafe(F.col("_w_g")) & (F.col("part") == F.col("_w_part")))
+    inner = inner.withColumn("turn", F.row_number().over(W.partitionBy("g").orderBy("v")) - 1)
+    return inner.where(F.col("turn") == F.col("at")).select(F.col("g").alias(by), F.col("v").alias("median"))
 
 
 def filled_counts(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -98,21 +115,51 @@ def filled_counts(rows: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def id_digest(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """SHA-256 over a group's sorted ids, one a line."""
-    ids = F.array_sort(F.collect_list(F.col(key).cast("string")))
-    return rows.groupBy(by).agg(F.sha2(F.concat(F.array_join(ids, "\n"), F.lit("\n")), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """SHA-256 over a group's sorted ids, one a line.
+
+    The digest is sequential by nature: a group streams through one task in order, which holds no ids but the next.
+    """
+    from waymark.runtime import ship
+
+    ship(rows.sparkSession)
+    sorted_ = rows.select(F.col(by), F.col(key).cast("string").alias("id")).repartition(by).sortWithinPartitions(by, "id")
+    shape = sorted_.select(by, F.lit("").alias("digest"), F.lit(0).cast("long").alias("n")).schema
+
+    def run(batches):
+        group, sha, n = None, None, 0
+        kind = None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([group[0]], kind), pa.array([sha.hexdigest()]), pa.array([n], pa.int64())], [by, "digest", "n"])
+
+        for b in batches:
+            kind = b.column(0).type
+            for g, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if group is None or g != group[0]:
+                    if group is not None:
+                        yield done()
+                    group, sha, n = (g,), hashlib.sha256(), 0
+                if i is not None:
+                    sha.update(i.encode() + b"\n")
+                n += 1
+        if group is not None:
+            yield done()
+
+    return sorted_.mapInArrow(run, shape)
 
 
-def truth_faults(rows: DataFrame) -> DataFrame:
-    """How many truth rows break each rule: one row."""
+def truth_faults(rows: DataFrame, parts: list[str] = ()) -> DataFrame:
+    """How many truth rows break each rule: one row.  With ``parts``, a query must be these columns joined by commas."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     per = rows.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(blank("query") | blank("country")).alias("blank"), F.count_if(~geo.valid(F.col("lat"), F.col("lon"))).alias("bad_coords"),
         (F.count(F.lit(1)) - F.count_distinct("record_id")).alias("repeated_ids"),
     )
-    from waymark.functions.text import address_key
+    from waymark.functions.text import address_key, compose
 
     key = F.struct("country", address_key(F.col("query")))
     spot = F.struct("country", F.round(F.col("lat") * 1e5), F.round(F.col("lon") * 1e5))
     more = rows.agg((F.count(F.lit(1)) - F.count_distinct(key)).alias("repeated_addresses"), (F.count(F.lit(1)) - F.count_distinct(spot)).alias("repeated_spots"))
+    if parts:
+        more = more.crossJoin(rows.agg(F.count_if(~F.coalesce(F.col("query") == compose(*[F.col(c) for c in parts]), F.lit(False))).alias("not_composed")))  # one row each
     return per.crossJoin(more)  # one row each

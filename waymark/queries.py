@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from waymark import fixtures as X
 from waymark.functions import geo, text
-from waymark.operators import answers as A, canon, evaluate as E, gazetteer as G, places, reverse as R, sampling as S, structured
+from waymark.operators import answers as A, boxes, canon, evaluate as E, gazetteer as G, places, reverse as R, sampling as S, structured
 from waymark.operators.freeform import FreeForm, cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -935,3 +935,129 @@ def registry_stats(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("code").alias("communes"), F.count_distinct(F.concat_ws("|", "street_norm", "code")).alias("streets"),
         F.count_distinct("postcode").alias("postcodes"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"),
     )
+
+
+# boxes, extracts and samples of truth
+
+_BOX, _HOLES = (2.3, 40.2, 8.0, 47.5), [(3.2, 41.5, 3.2045, 41.505), (5.0, 43.0, 6.0, 44.6)]
+_SQL_IN = lambda b: f"(lon >= {b[0]} AND lon <= {b[2]} AND lat >= {b[1]} AND lat <= {b[3]})"
+
+
+@query("box_region", f"WITH {X.POINTS} SELECT point_id FROM points WHERE {_SQL_IN(_BOX)} AND NOT {_SQL_IN(_HOLES[0])} AND NOT {_SQL_IN(_HOLES[1])}")
+def box_region(spark, sf_dir):
+    return boxes.region(X.points(spark, sf_dir), _BOX, _HOLES).select("point_id")
+
+
+_COUNTRIES = {"NATION_3": (3.2, 41.5, 3.205, 41.51), "NATION_7": (0.0, 0.0, 90.0, 90.0), "NATION_9": (0.0, 0.0, 1.0, 1.0)}
+
+
+@query("country_boxes", f"""WITH {X.ADDRESSES} SELECT part FROM addresses WHERE {' OR '.join(f"(commune = '{n}' AND lon - 0.0005 <= {b[2]} AND lon + 0.0005 >= {b[0]} AND lat - 0.0005 <= {b[3]} AND lat + 0.0005 >= {b[1]})" for n, b in _COUNTRIES.items())}""")
+def country_boxes(spark, sf_dir):
+    side = lambda c, d: (F.col(c) + F.lit(d)).cast("double")
+    box = F.struct(side("lon", -0.0005).alias("xmin"), side("lat", -0.0005).alias("ymin"), side("lon", 0.0005).alias("xmax"), side("lat", 0.0005).alias("ymax"))
+    rows = X.addresses(spark, sf_dir).select("part", F.lower("commune").alias("country"), box.alias("bbox"))
+    return boxes.of_countries(rows, _COUNTRIES).select("part")
+
+
+@query("osm_candidates", """
+WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE ' ' || p_size END AS hn, CASE WHEN p_partkey % 3 <> 0 THEN p_name || ' ' END AS st, CASE WHEN p_partkey % 2 = 0 THEN 'Square ' || p_partkey END AS pl,
+  CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE ' City' END AS city, 'Village' AS vil, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'cafe' END AS am, CASE WHEN p_partkey % 6 < 3 THEN 'book  store' END AS shop,
+  CASE WHEN p_partkey % 11 = 0 THEN 'yes' END AS gone, CASE WHEN p_partkey % 9 = 0 THEN 'Net' END AS net, 50.0 + p_size AS lat, CASE WHEN p_partkey % 13 <> 0 THEN 5.0 END AS lon FROM part)
+SELECT id AS object_id, trim(coalesce(st, pl)) AS street, CASE WHEN trim(coalesce(st, '')) <> '' THEN 'addr:street' ELSE 'addr:place' END AS street_tag, trim(hn) AS house_number, trim(coalesce(city, vil)) AS municipality,
+ CASE WHEN city IS NULL THEN 'addr:village' ELSE 'addr:city' END AS municipality_tag, CASE WHEN am <> '' THEN 'amenity:cafe' WHEN shop IS NOT NULL THEN 'shop:book store' ELSE '' END AS category, coalesce(net, '') AS network
+FROM t WHERE trim(hn) <> '' AND trim(coalesce(st, pl)) <> '' AND trim(coalesce(city, vil)) <> '' AND gone IS NULL AND lon IS NOT NULL""")
+def osm_candidates(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.lit
+    tags = {
+        "addr:housenumber": F.when(k % 7 == 0, " ").otherwise(F.concat(s(" "), F.col("p_size").cast("string"))), "addr:street": F.when(k % 3 != 0, F.concat("p_name", s(" "))),
+        "addr:place": F.when(k % 2 == 0, F.concat(s("Square "), k.cast("string"))), "addr:city": F.when(k % 5 == 0, None).when(k % 5 == 1, " ").otherwise(" City"), "addr:village": s("Village"),
+        "amenity": F.when(k % 4 == 0, "").otherwise("cafe"), "shop": F.when(k % 6 < 3, "book  store"), "disused": F.when(k % 11 == 0, "yes"), "network": F.when(k % 9 == 0, "Net"),
+    }
+    made = F.map_filter(F.create_map(*[x for n, c in tags.items() for x in (s(n), c)]), lambda _, v: v.isNotNull())
+    osm = X.table(spark, sf_dir, "part").select(s("node").alias("kind"), k.alias("id"), made.alias("tags"), (F.col("p_size") + 50.0).alias("lat"), F.when(k % 13 != 0, 5.0).alias("lon"))
+    return canon.address_candidates(osm).select("object_id", "street", "street_tag", "house_number", "municipality", "municipality_tag", "category", "network")
+
+
+@query("reverse_for_sql", SQL["reverse_geocode"].split("SELECT point_id, rank, CASE")[0] + "SELECT point_id, street, numero || rep AS housenumber, commune, CASE WHEN dist <= 50 THEN 'house' WHEN dist <= 250 THEN 'near' ELSE 'approximate' END AS precision FROM r WHERE rank = 1")
+def reverse_for_sql(spark, sf_dir):
+    """The nearest address as JSON, for a view that SQL knows."""
+    from waymark.api import Geocoder, reverse_sql
+
+    X.points(spark, sf_dir).createOrReplaceTempView("waymark_points")
+    out = reverse_sql(spark, Geocoder(X.gazetteer(spark, sf_dir)), "waymark_points", "point_id", "lat", "lon")
+    field = lambda c: F.get_json_object("answer", f"$.{c}").alias(c)
+    return out.select("point_id", field("street"), field("housenumber"), field("commune"), field("precision"))
+
+
+@query("collided_ids", f"""
+WITH {X.ADDRESSES}, r AS (SELECT part, street_norm || '|' || code || '|' || numero AS key, round(lat * 1e5) || ',' || round(lon * 1e5) AS spot FROM addresses), u AS (SELECT * FROM r WHERE part % 4 = 0)
+SELECT part, key IN (SELECT key FROM u) OR spot IN (SELECT spot FROM u) AS collided FROM r WHERE part % 4 <> 0""")
+def collided_ids(spark, sf_dir):
+    spot = F.concat_ws(",", F.round(F.col("lat") * 1e5).cast("string"), F.round(F.col("lon") * 1e5).cast("string"))
+    rows = X.addresses(spark, sf_dir).select("part", F.concat_ws("|", "street_norm", "code", F.col("numero").cast("string")).alias("key"), spot.alias("spot"))
+    return S.marked_collisions(rows.where("part % 4 <> 0"), rows.where("part % 4 = 0"), "key", "spot").select("part", "collided")
+
+
+@query("phased_quota", f"""
+WITH RECURSIVE {X.ADDRESSES}, b AS (SELECT code, part, street_norm, numero, 0 AS phase FROM addresses WHERE rep = 'bis' UNION ALL SELECT code, part, street_norm, numero, 1 FROM addresses),
+p AS (SELECT *, count(*) OVER (PARTITION BY code, phase, numero) / 2.0 AS press FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY phase, press, sha256('phase|' || part)) AS n FROM p),
+g AS (SELECT DISTINCT code, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS streets, CAST([] AS BIGINT[]) AS numbers, CAST([] AS BIGINT[]) AS one, CAST([] AS BIGINT[]) AS two FROM r
+ UNION ALL SELECT code, n, CASE WHEN ok THEN list_append(streets, street_norm) ELSE streets END, CASE WHEN ok THEN list_append(numbers, numero) ELSE numbers END,
+  CASE WHEN ok AND phase = 0 THEN list_append(one, part) ELSE one END, CASE WHEN ok AND phase = 1 THEN list_append(two, part) ELSE two END
+ FROM (SELECT g.code, r.n, g.streets, g.numbers, g.one, g.two, r.street_norm, r.numero, r.part, r.phase, CASE r.phase WHEN 0 THEN len(g.one) < 3 ELSE len(g.two) < 20 END
+   AND NOT list_contains(g.streets, r.street_norm) AND len(list_filter(g.numbers, lambda x: x = r.numero)) < 2 AS ok FROM g JOIN r ON r.code = g.code AND r.n = g.n + 1)),
+z AS (SELECT * FROM g QUALIFY n = max(n) OVER (PARTITION BY code))
+SELECT code, unnest(one) AS part, 'bis' AS phase FROM z UNION ALL SELECT code, unnest(two), 'rest' FROM z""")
+def phased_quota(spark, sf_dir):
+    """Three rows with a suffix first, then twenty of all: no street twice, at most two of a number over both phases."""
+    rows = X.addresses(spark, sf_dir).select("code", "part", "street_norm", "numero", "rep").withColumn("turn", S.hash_order("phase", F.col("part").cast("string")))
+    return S.phased(rows, "code", {"bis": (F.col("rep") == "bis", 3), "rest": (F.lit(True), 20)}, ["street_norm"], {"numero": 2}, ["turn"]).select("code", "part", "phase")
+
+
+@query("feasibility", f"""
+WITH {X.ADDRESSES}, b AS (SELECT code, street_norm, numero, 'all' AS pool, 70 AS required FROM addresses UNION ALL SELECT code, street_norm, numero, 'bis', 8 FROM addresses WHERE rep = 'bis'),
+c AS (SELECT code, pool, CAST(sum(least(n, 1)) AS BIGINT) AS numero_cap FROM (SELECT code, pool, numero, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT code, pool, any_value(required) AS required, count(*) AS rows, count(DISTINCT street_norm) AS street_norm_keys FROM b GROUP BY code, pool),
+u AS (SELECT *, least(rows, street_norm_keys, numero_cap) AS upper_bound FROM a JOIN c USING (code, pool))
+SELECT code, pool, required, upper_bound, concat_ws(',', CASE WHEN numero_cap = upper_bound THEN 'numero_cap' END, CASE WHEN rows = upper_bound THEN 'rows' END, CASE WHEN street_norm_keys = upper_bound THEN 'street_norm_keys' END) AS limiting,
+ upper_bound < required AS infeasible FROM u""")
+def feasibility(spark, sf_dir):
+    rows = X.addresses(spark, sf_dir).select("code", "street_norm", "numero", "rep")
+    out = S.certificate(rows, "code", {"all": (F.lit(True), 70), "bis": (F.col("rep") == "bis", 8)}, ["street_norm"], {"numero": 1})
+    return out.withColumn("limiting", F.array_join("limiting", ","))
+
+
+@query("duplicate_profile", f"""
+WITH {X.ADDRESSES}, t AS (SELECT CAST(part % 1900 AS VARCHAR) AS id_key, trim(regexp_replace(lower(numero || ' ' || street || ', ' || commune), '[^a-z0-9]+', ' ', 'g')) AS query_key, printf('%.5f', lat) || ',' || printf('%.5f', lon) AS spot_key FROM addresses)
+SELECT CAST((SELECT count(*) FROM t) AS BIGINT) AS rows, {', '.join(f"(SELECT count(DISTINCT {k}) FROM t) AS distinct_{k}, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM t GROUP BY {k}) WHERE n > 1) AS repeated_{k}" for k in ("id_key", "query_key", "spot_key"))}""")
+def duplicate_profile(spark, sf_dir):
+    query_ = F.concat(F.col("numero").cast("string"), F.lit(" "), "street", F.lit(", "), "commune")
+    keys = S.duplicate_keys(F.col("part") % 1900, query_, F.col("lat"), F.col("lon"))
+    return S.duplicate_profile(X.addresses(spark, sf_dir).select(*[c.alias(n) for n, c in keys.items()]), list(keys))
+
+
+@query("selection_profile", f"""
+WITH {X.ADDRESSES}, s AS (SELECT * FROM addresses QUALIFY row_number() OVER (PARTITION BY code ORDER BY sha256('profile|' || part)) <= 6)
+SELECT 'candidates' AS fact, rep AS name, count(*) AS n FROM addresses GROUP BY rep UNION ALL SELECT 'selected', rep, count(*) FROM s GROUP BY rep
+UNION ALL SELECT 'largest', 'numero', (SELECT max(n) FROM (SELECT count(*) AS n FROM s GROUP BY numero)) UNION ALL SELECT 'cap', 'numero', 8""")
+def selection_profile(spark, sf_dir):
+    rows = X.addresses(spark, sf_dir).select("code", "part", "numero", "rep")
+    chosen = S.top_n(rows, ["code"], [S.hash_order("profile", F.col("part").cast("string"))], 6)
+    return S.selection_profile(rows, chosen, "rep", {"numero": S.percent_cap(150)})
+
+
+@query("hash_sample", f"WITH {X.ADDRESSES} SELECT part FROM addresses ORDER BY sha256('reservoir|' || part), part LIMIT 500")
+def hash_sample(spark, sf_dir):
+    return S.hash_sample(X.addresses(spark, sf_dir).select("part"), "reservoir", F.col("part").cast("string"), 500)
+
+
+@query("unpacked_structs", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+def unpacked_structs(spark, sf_dir):
+    """Lists of structs by order, back to rows."""
+    item = F.struct("l_orderkey", "l_partkey", "l_quantity")
+    return S.unpacked(X.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items")), "items")
+
+
+@query("total_rows", "SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) AS n")
+def total_rows(spark, sf_dir):
+    return canon.total_rows(*(X.table(spark, sf_dir, t) for t in ("part", "orders", "nation")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from waymark.functions.rules import RULES_NUMBERS, Rules
@@ -33,10 +37,29 @@ def read_nested(spark: SparkSession, path: str, country: str) -> DataFrame:
     return nested_addresses(spark.read.parquet(path), country)
 
 
-def read_canon(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Canonical address rows from CSV (plain or gzip) with a header; ``max_bytes`` bounds the files' size."""
+MAX_UNPACKED, MAX_RATIO = 32 << 30, 100
+
+
+def check_unpacked(spark: SparkSession, path: str, max_bytes: int = MAX_UNPACKED, max_ratio: int = MAX_RATIO) -> None:
+    """Refuse text files that unpack to more than ``max_bytes`` together, or a .gz to over ``max_ratio`` times its size.
+
+    The files stream through the executors, line by line; nothing of them is kept.
+    """
+    lines = spark.read.text(path).select(F.octet_length("value") + 1, "_metadata.file_path", "_metadata.file_size").toDF("n", "file", "size")
+    per = lines.groupBy("file").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    worst = per.agg(F.sum("n").alias("n"), F.max(F.when(F.col("file").endswith(".gz"), F.col("n") / F.col("size"))).alias("ratio")).first()
+    if (worst.n or 0) > max_bytes:
+        raise ValueError(f"{path} unpacks to {worst.n} bytes, more than {max_bytes}")
+    if (worst.ratio or 0) > max_ratio:
+        raise ValueError(f"{path} unpacks to {worst.ratio:.0f} times its size, more than {max_ratio}")
+
+
+def read_canon(spark: SparkSession, path: str, max_bytes: int | None = None, max_ratio: int | None = None) -> DataFrame:
+    """Canonical address rows from CSV (plain or gzip) with a header; ``max_bytes`` bounds the files' size, and with ``max_ratio`` what they unpack to."""
     if max_bytes is not None and folder_bytes(spark, path) > max_bytes:
         raise ValueError(f"{path} holds more than {max_bytes} bytes")
+    if max_ratio is not None:
+        check_unpacked(spark, path, max_bytes or MAX_UNPACKED, max_ratio)
     df = spark.read.csv(path, header=True, inferSchema=False)
     missing = sorted(set(CANON) - set(df.columns))
     if missing:
@@ -54,14 +77,41 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
     Polygons and multipolygons are read; files that can't be read are left out.
     """
-    raw = spark.read.text(path, wholetext=True)
-    kind = "struct<properties: struct<name: string>, geometry: struct<type: string, coordinates: string>>"
+    return regions_of(spark.read.text(path, wholetext=True))
+
+
+def read_region_tars(spark: SparkSession, path: str, max_member: int = 64 << 20) -> DataFrame:
+    """``read_regions`` from the GeoJSON files in tar archives, plain or compressed; an archive is read by one task, file by file.
+
+    Members larger than ``max_member`` bytes, links and whatever isn't GeoJSON are left out; nothing is unpacked to disk.
+    """
+    def members(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                found = []
+                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r|*") as tar:
+                    for m in tar:
+                        if m.isfile() and m.name.endswith(".geojson") and m.size <= max_member:
+                            found.append(tar.extractfile(m).read().decode("utf-8", "replace"))
+                            if len(found) == 64:
+                                yield pa.RecordBatch.from_arrays([pa.array(found)], ["value"])
+                                found = []
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["value"])
+
+    return regions_of(spark.read.format("binaryFile").load(path).select("content").mapInArrow(members, "value string"))
+
+
+def regions_of(raw: DataFrame) -> DataFrame:
+    """Regions from GeoJSON texts (value); features that say their kind of place count only if it is a region."""
+    kind = "struct<properties: struct<name: string, `wof:name`: string, `wof:placetype`: string>, geometry: struct<type: string, coordinates: string>>"
     parsed = raw.select(F.from_json("value", kind).alias("f")).where("f.geometry.coordinates IS NOT NULL")
     flat = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     deep = F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
     rings = F.when(F.col("f.geometry.type") == "Polygon", flat).when(F.col("f.geometry.type") == "MultiPolygon", deep)
     point = lambda p: F.struct(F.round(F.get(p, F.lit(1)) * 1e7).cast("long").alias("lat"), F.round(F.get(p, F.lit(0)) * 1e7).cast("long").alias("lon"))
-    out = parsed.select(F.col("f.properties.name").alias("name"), F.transform(rings, lambda r: F.transform(r, point)).alias("rings")).where("rings IS NOT NULL AND name IS NOT NULL")
+    parsed = parsed.where(F.coalesce(F.col("f.properties.`wof:placetype`") == "region", F.lit(True)))
+    name = F.coalesce("f.properties.`wof:name`", "f.properties.name")
+    out = parsed.select(name.alias("name"), F.transform(rings, lambda r: F.transform(r, point)).alias("rings")).where("rings IS NOT NULL AND name IS NOT NULL")
     points = F.flatten("rings")
     side = lambda f, c, a: f(F.transform(points, lambda p: p[c])).alias(a)
     from pyspark.sql import Window as W
