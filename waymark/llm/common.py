@@ -27,9 +27,21 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes that one Arrow batch holds, about, on its way to a worker and back; texts make batches of rows of any size.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Set the session's batch size, unless somebody has already asked for another than Spark's own 64 MB."""
+    if spark.conf.get(_BATCH_CONF).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow after the package has been sent to the executors."""
+    """mapInArrow after the package has been sent to the executors, in batches of bounded bytes."""
     ship(df.sparkSession)
+    _bound_batches(df.sparkSession)
 
     def run(batches):
         yield from fn(batches)
