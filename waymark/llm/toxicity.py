@@ -2,8 +2,8 @@
 
 1. Voters.  From a bounded sample of labelled training rows, words (lexicon voters), word beginnings and beginnings
    of two different words (pattern voters) that mark toxic texts are mined by a likelihood-ratio test, in which copies of
-   a text count once.  From all that are significant, voters are chosen one by one, each for the toxic texts that don't yet hold two chosen ones, so that words which toxic texts
-   only share because they are copies of each other stay out.  Some style voters and a voter for texts without any
+   a text count once.  From all that are significant, voters are chosen one by one, each for the toxic texts that don't
+   yet hold two chosen ones, so that words which toxic texts only share because they are copies of each other stay out.  Some style voters and a voter for texts without any
    hit join them.  A voter votes or abstains.
 2. Label model.  A two-class generative model estimates how often each voter votes in either class, by expectation
    maximisation over the votes, with the rates among the labelled rows as prior; correlations that remain between voters within a class lower the weight of
@@ -11,7 +11,7 @@
 3. Classifier.  A logistic regression is trained on the posterior labels, with votes and hit densities as inputs,
    and scores every whole text.  Neither labels nor language, source or id are inputs.
 
-The sample's size (TRAIN_ROWS) and the number of voters (VOTERS) are parameters; all else covers all rows.
+The sample's size (TRAIN_ROWS) is a parameter; all else covers all rows, and voters are chosen until none is significant.
 
 Defined cases: null counts as empty; an empty text gets the score of a text without hits; without training labels
 of both classes every score is the share of toxic labels (0 without labels) and so below the threshold, or the
@@ -33,7 +33,6 @@ from waymark.llm.common import Scope, map_arrow, materialize
 from waymark.llm.tokens import slices
 
 TRAIN_ROWS = 20_000
-VOTERS = 96
 #: Of the likelihood-ratio statistic, for a mined voter: odds of about 10^-6 for a term that marks nothing.
 SIGNIFICANT = 24.0
 SUPPORT = 3
@@ -164,7 +163,7 @@ def candidates(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> li
     return [t for g, _, t in scored if -g >= SIGNIFICANT]
 
 
-def choose(held: list[list[int]], marked: list[bool], terms: list[str], most: int = VOTERS) -> list[int]:
+def choose(held: list[list[int]], marked: list[bool], terms: list[str]) -> list[int]:
     """Of the candidate ``terms``, those that mark toxic texts which hold fewer than two chosen ones.
 
     ``held`` lists each text's candidates.  Of terms that begin alike, so that one word holds both, one is chosen.
@@ -175,7 +174,7 @@ def choose(held: list[list[int]], marked: list[bool], terms: list[str], most: in
     clean = Counter(i for h, y in zip(held, marked, strict=True) if not y for i in set(h))
     counts = Counter(i for h in toxic for i in h)  # of the texts that still need some
     n_clean, need, chosen = len(marked) - len(toxic), [2] * len(toxic), []
-    while len(chosen) < most:
+    while True:
         best = max(((evidence(counts[i], clean[i], len(toxic), n_clean, 0.0), -i) for i in open_), default=(0, 0))
         if best[0] < SIGNIFICANT:
             break
