@@ -240,7 +240,8 @@ def _chunked(banded: DataFrame, percent: int) -> DataFrame:
     n, bytes_ = F.count(F.lit(1)), F.sum("n_shingles") * 8
     shared = banded.groupBy(F.col("key").alias("_w_key")).agg(n.alias("n"), bytes_.alias("bytes")).where("n > 1")
     shared = materialize(shared, "near-buckets").withColumn("large", (F.col("n") > CHUNK) | (F.col("bytes") > CHUNK_BYTES))
-    members = banded.join(shared.select("_w_key", "large"), F.col("key") == F.col("_w_key")).drop("_w_key")
+    # written: all that follows reads these few rows, and not the bands of all classes again
+    members = materialize(banded.join(shared.select("_w_key", "large"), F.col("key") == F.col("_w_key")).drop("_w_key"), "near-met")
     whole = members.where("NOT large").select("key", "band", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("chunk"), "node", "n_shingles")
     if shared.where("large").isEmpty():
         return whole
