@@ -106,15 +106,16 @@ POINTS = """points AS (SELECT event_id AS point_id, CAST((user_id % 25) * 5000 +
        CAST((user_id % 25) * 4000 + event_id % 103 + 20000 AS DOUBLE) / 10000.0 AS lon FROM events)"""
 
 
-def freeform_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free text for each order, in six styles: plain, capitals, punctuated, abbreviated, with a letter missing, city first."""
+def freeform_queries(spark: SparkSession, sf_dir: str, typos: bool = True) -> DataFrame:
+    """Free text for each order, in six styles: plain, capitals, punctuated, abbreviated, with a letter missing, city first; or without missing letters, and city first only before a number."""
     q = structured_queries(spark, sf_dir)
     number, city, street = F.coalesce("number", F.lit("")), F.col("city"), F.col("street")
     short = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(street), "^avenue ", "av "), "^boulevard ", "bd "), "^place ", "pl ")
     typo = F.concat(F.substring(street, F.lit(1), F.length(street) - 3), F.substring(street, F.length(street) - 1, F.lit(2)))
     pc = F.coalesce("postcode", F.lit(""))
     line = lambda *p: F.trim(F.regexp_replace(F.concat_ws(" ", *p), " +", " "))
-    style = F.col("query_id") % 6
+    turn = F.floor(F.col("query_id") / 5) % 5
+    style = F.col("query_id") % 6 if typos else F.when(turn < 4, turn).when(F.col("number").isNotNull(), 5).otherwise(0)
     text = (
         F.when(style == 0, line(number, street, pc, city)).when(style == 1, F.upper(line(number, street, pc, city)))
         .when(style == 2, F.concat(line(number, street), F.lit(", "), pc, F.lit(" ("), city, F.lit(")"))).when(style == 3, line(number, short, pc, city))

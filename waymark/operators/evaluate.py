@@ -66,6 +66,10 @@ def mcnemar_p(only_a: int, only_b: int) -> float:
 
 def mcnemar(table: DataFrame) -> DataFrame:
     """``paired`` rows with their p-value."""
+    from waymark.runtime import ship
+
+    ship(table.sparkSession)
+
     @F.pandas_udf("double")
     def p(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(a, b, strict=True)])

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from waymark.runtime import ship_active
+
 #: Fixed value: what a model begins with, before its dimension, number of classes, intercepts and weights.
 MAGIC = b"GPML"
 
@@ -68,6 +70,7 @@ class Tagger:
 def labels(tokens: Column, model: bytes) -> Column:
     """The class of each token of an array column, in Arrow batches; null and empty arrays have none."""
     Tagger.read(model)  # a bad model fails here, not on the executors
+    ship_active()
 
     @F.pandas_udf("array<int>")
     def of(s: pd.Series) -> pd.Series:

@@ -604,6 +604,16 @@ def freeform_plain(spark, sf_dir):
     return hits(freeform(spark, sf_dir).geocode(plain_lines(spark, sf_dir), 1))
 
 
+_STYLES = _MATCHED.replace("CAST(a.postcode AS INTEGER) AS q_pc", "CAST(CASE WHEN (query_id // 5) % 5 <> 4 OR a.number IS NULL THEN a.postcode END AS INTEGER) AS q_pc")
+assert _STYLES != _MATCHED
+
+
+@query("freeform_styles", f"WITH {_STYLES} SELECT {_HIT} FROM z")
+def freeform_styles(spark, sf_dir):
+    """Plain, in capitals, punctuated, abbreviated, and city first with a number: always the answer of the structured query."""
+    return hits(freeform(spark, sf_dir).geocode(X.freeform_queries(spark, sf_dir, typos=False).select("query_id", "q"), 1))
+
+
 @query("freeform_geocode")
 def freeform_geocode(spark, sf_dir):
     return hits(freeform(spark, sf_dir).geocode(X.freeform_queries(spark, sf_dir).select("query_id", "q"), 1))

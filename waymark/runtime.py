@@ -95,6 +95,7 @@ def release(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -135,6 +136,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def ship_active() -> None:
+    """``ship`` for column functions, which know no session but the active one."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def local_session(cores: int | None = None, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     n = cores or os.cpu_count() or 1
