@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
+from waymark.operators.freeform import FreeForm
 from waymark.runtime import materialize
 
 
@@ -11,3 +13,18 @@ def test_tables_of_many_like_rows_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in join._jdf.queryExecution().executedPlan().toString()
     few = materialize(spark.range(10), "few")
     assert "BroadcastHashJoin" in spark.range(5_000_000).join(few, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_around_a_focus(spark):
+    at = [(48.85, 2.35), (89.999, 2.0), (-90.0, -180.0), (50.0, 179.999), (0.0, 0.0)]
+    streets = [(f"s{i % 2}", f"{i:05}", lat + dy / 100, lon + dx / 100) for i, (lat, lon) in enumerate(at) for dy in range(-6, 7) for dx in range(-6, 7)]
+    streets = [s for s in streets if -90 <= s[2] <= 90 and -180 <= s[3] <= 180]
+    table = spark.createDataFrame(streets, "street_norm string, code string, lat double, lon double").select("street_norm", "code", F.lit(0).alias("pc_num"), geo.cell_of(F.col("lat"), F.col("lon")).alias("cell"))
+    asked = spark.createDataFrame([(s, *p) for s in ("s0", "s1") for p in at], "street_norm string, lat double, lon double")
+    asked = asked.withColumn("row", geo.cell_row(F.col("lat"))).withColumn("column", geo.cell_column(F.col("lon")))
+    free = FreeForm.__new__(FreeForm)
+    free.gaz = type("G", (), {"streets": table})
+    got = sorted(map(tuple, free._around(asked.select("street_norm", "row", "column").distinct()).collect()))
+    cells = asked.select("street_norm", "row", "column", F.explode(geo.cells_around(F.col("lat"), F.col("lon"), 4)).alias("c")).select("street_norm", "row", "column", "c.cell").distinct()
+    want = sorted(map(tuple, cells.join(table, ["street_norm", "cell"]).select("street_norm", "row", "column", "code", "pc_num").collect()))
+    assert got == want and len(want) > 200
