@@ -1,11 +1,18 @@
 """Steps that must not grow faster than their tables."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators import reverse as R
 from waymark.operators.freeform import FreeForm
 from waymark.runtime import materialize
 
+HOUSES = "street_norm string, code string, numero int, rep string, lon_e7 long, lat_e7 long, postcode string"
+
 
 def test_tables_of_many_like_rows_are_not_broadcast(spark):
     many = materialize(spark.range(300_000).select((F.col("id") % 1000).alias("id"), F.lit("a long and common text " * 10).alias("t")), "many")
@@ -28,3 +35,42 @@ def test_names_around_a_focus(spark):
     cells = asked.select("street_norm", "row", "column", F.explode(geo.cells_around(F.col("lat"), F.col("lon"), 4)).alias("c")).select("street_norm", "row", "column", "c.cell").distinct()
     want = sorted(map(tuple, cells.join(table, ["street_norm", "cell"]).select("street_norm", "row", "column", "code", "pc_num").collect()))
     assert got == want and len(want) > 200
+
+
+def test_reverse_of_dense_places_equals_all_distances(spark):
+    """Many addresses at few points, some with several positions: levels of boxes and kept turns lose none."""
+    pick = random.Random(5)
+    rows = []
+    for _ in range(6000):
+        street, n = f"s{pick.randrange(12):02}", pick.randrange(1, 60)
+        lat, lon = 500_010_000 + 200 * pick.randrange(150), 50_010_000 + 200 * pick.randrange(150)
+        rows.append((street, "00001", n, "", lon, lat, str(pick.randrange(3))))
+    houses = spark.createDataFrame(rows, HOUSES)
+    centre = geo.cell_of(F.lit(50.005), F.lit(5.005))
+    streets = houses.select("street_norm", "code").distinct().withColumn("cell", centre)
+    streets = streets.select("*", F.col("street_norm").alias("street"), F.lit("x").alias("commune"), F.lit(True).alias("pc_ambiguous"), F.lit("").alias("postcode"))
+    gaz = type("G", (), {"houses": houses, "streets": streets})
+    nearby = R.nearby_of(gaz)
+    assert len(nearby.boxes) > 1
+    at = [(50.001 + pick.random() * 0.003, 5.001 + pick.random() * 0.003) for _ in range(25)] + [(50.0013, 5.0013)] * 3
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "point_id int, lat double, lon double")
+    got = {}
+    for r in R.reverse(points, gaz, 3, nearby).collect():
+        got.setdefault(r.point_id, {})[r["rank"]] = (r.distance_m, r.street, r.housenumber, r.postcode)
+    for i, (lat, lon) in enumerate(at):
+        best = {}
+        for street, code, n, rep, x, y, pc in rows:
+            dx, dy = (x / 1e7 - lon) * 111_320.0 * math.cos(math.radians(lat)), (y / 1e7 - lat) * 111_320.0
+            spot = (math.floor(math.sqrt(dx * dx + dy * dy) * 1e6 + 0.5) / 1e6, x, y, pc)
+            best[street, n] = min(best.get((street, n), spot), spot)
+        want = sorted((b[:3], *a, b[3]) for a, b in best.items())[:3]
+        assert [got[i][j + 1][1:] for j in range(3)] == [(s, str(n), pc) for _, s, n, pc in want]
+        assert [got[i][j + 1][0] for j in range(3)] == pytest.approx([w[0][0] for w in want])
+
+
+def test_reverse_ties_go_by_name_and_not_by_postcode(spark):
+    rows = [("b", "00001", 1, "", 50_000_000, 500_000_000, "1"), ("a", "00001", 1, "", 50_000_000, 500_000_000, "2"), ("c", "00001", 1, "", 50_000_000, 500_000_000, "0")]
+    houses = spark.createDataFrame(rows, HOUSES)
+    streets = houses.select("street_norm", "code", geo.cell_of(F.lit(50.0), F.lit(5.0)).alias("cell"), F.col("street_norm").alias("street"), F.lit("x").alias("commune"), F.lit(True).alias("pc_ambiguous"), F.lit("").alias("postcode"))
+    out = R.reverse(spark.createDataFrame([(1, 50.0, 5.0)], "point_id int, lat double, lon double"), type("G", (), {"houses": houses, "streets": streets}), 3)
+    assert [r.street for r in out.orderBy("rank").collect()] == ["a", "b", "c"]
