@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import reverse as R
+from waymark.operators import answers as A, reverse as R
 from waymark.operators.freeform import FreeForm
 from waymark.runtime import materialize
 
@@ -37,6 +37,39 @@ def test_names_around_a_focus(spark):
     assert got == want and len(want) > 200
 
 
+def plain(block, n, rep):
+    """The house by all rows in order."""
+    rows = sorted(block)
+    same = [h for h in rows if h[0] == n]
+    exact = [h for h in same if h[1] == rep]
+    if exact or same:
+        return (2, exact[0]) if exact else (1, same[0])
+    lower, upper = [h for h in rows if h[0] < n], [h for h in rows if h[0] > n]
+    if lower and upper:
+        return (0, lower[-1] if n - lower[-1][0] <= upper[0][0] - n else upper[0])
+    return (0, lower[-1] if lower else upper[0])
+
+
+def test_blocks_are_as_long_as_a_street_has_numbers(spark):
+    rows = [("s", "1", 10 * (1 + i % 3), ("", "a", "b")[i // 3 % 3], 10_000_000 * (i * 7 % 11), 10_000_000 * (i % 5), f"{i % 2}") for i in range(300)]
+    rows = [r for r in rows if (r[2], r[3]) != (20, "a")]
+    block = A.blocks_of(spark.createDataFrame(rows, HOUSES)).first().block
+    assert [g.numero for g in block] == [10, 20, 30] and sum(len(g.houses) for g in block) == 8
+    asked = [(n, rep) for n in (1, 10, 14, 15, 16, 20, 29, 30, 31) for rep in ("", "a", "b", "c")]
+    q = spark.createDataFrame(asked, "numero int, rep string").join(A.blocks_of(spark.createDataFrame(rows, HOUSES)))
+    turn = A.turn_in(F.col("block"), F.col("numero"))
+    got = {(r.numero, r.rep): r.h for r in q.select("numero", "rep", A.find_house(F.col("block"), turn, F.col("numero"), F.col("rep")).alias("h")).collect()}
+    for n, rep in asked:
+        kind, (numero, own, lon, lat, pc) = plain([r[2:] for r in rows], n, rep)
+        h = got[n, rep]
+        assert (h.kind, h.numero, h.rep, h.lon, h.lat, h.own_postcode) == (kind, numero, own, lon / 1e7, lat / 1e7, pc)
+
+
+def test_likeness_of_a_shared_word(spark):
+    df = spark.createDataFrame([(["rue", "paix"], ["paix"]), (["rue"], ["rua", "x"]), ([], ["a"]), (["a"], [])], "w array<string>, q array<string>")
+    assert [r[0] for r in df.select(A.likeness(F.col("w"), F.col("q"))).collect()] == pytest.approx([100, 67, 0, 0])
+
+
 def test_reverse_of_dense_places_equals_all_distances(spark):
     """Many addresses at few points, some with several positions: levels of boxes and kept turns lose none."""
     pick = random.Random(5)
