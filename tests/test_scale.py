@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import runtime
 from waymark.functions import geo
-from waymark.operators import answers as A, reverse as R
+from waymark.operators import answers as A, places as P, reverse as R, structured as S
+from waymark.operators.gazetteer import build
 from waymark.operators.freeform import FreeForm
 from waymark.runtime import materialize
 
@@ -107,3 +109,73 @@ def test_reverse_ties_go_by_name_and_not_by_postcode(spark):
     streets = houses.select("street_norm", "code", geo.cell_of(F.lit(50.0), F.lit(5.0)).alias("cell"), F.col("street_norm").alias("street"), F.lit("x").alias("commune"), F.lit(True).alias("pc_ambiguous"), F.lit("").alias("postcode"))
     out = R.reverse(spark.createDataFrame([(1, 50.0, 5.0)], "point_id int, lat double, lon double"), type("G", (), {"houses": houses, "streets": streets}), 3)
     assert [r.street for r in out.orderBy("rank").collect()] == ["a", "b", "c"]
+
+
+ADDRESS = "street_norm string, code string, street string, commune string, commune_norm string, numero int, rep string, postcode string, lat double, lon double"
+
+
+@pytest.fixture(scope="module")
+def village(spark):
+    rows = [(f"rue {n}", c, f"Rue {n}", v, v.lower(), i, "", f"1000{i % 2}", 48.0 + i / 1e4, 2.0) for n in ("haute", "basse") for c, v in (("1", "Aville"), ("2", "Beville")) for i in (1, 3, 9)]
+    return build(spark.createDataFrame(rows, ADDRESS))
+
+
+def plans_of(monkeypatch, run):
+    """The optimized plans of the scratch tables that ``run`` writes, by name."""
+    plans, own = {}, runtime.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return own(df, name)
+
+    monkeypatch.setattr(runtime, "written", written)
+    run()
+    return plans
+
+
+def python_in(plan):
+    return [i for i, line in enumerate(plan) if "EvalPython" in line or "MapInArrow" in line]
+
+
+ASKED = "query_id long, street string, number string, city string, postcode string"
+
+
+def test_structured_queries_are_prepared_once_and_after_they_are_dealt(spark, village, monkeypatch):
+    q = spark.createDataFrame([(i, "Rue Haute", "3", "Aville", None) for i in range(10)], ASKED)
+    plan = plans_of(monkeypatch, lambda: S.geocode(q, village).collect())["structured"]
+    dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert len(python_in(plan)) == 1 and python_in(plan) < dealt
+
+
+def test_json_lines_are_parsed_once(spark, village, monkeypatch):
+    from waymark.sources.jsonl import parse_requests
+
+    line = '{"street": "Rue Haute", "housenumber": 3, "city": "Aville", "postcode": " "}'
+    asked = parse_requests(spark.createDataFrame([(i, line) for i in range(10)], "query_id long, line string"), "line").withColumnRenamed("housenumber", "number")
+    plan = plans_of(monkeypatch, lambda: S.geocode(asked, village).collect())["structured"]
+    assert "\n".join(plan).count("from_json(") == 1
+
+
+def test_keys_and_variants_are_made_of_distinct_phrases(spark, village):
+    phrases = spark.createDataFrame([("aville",)] * 10, "phrase string")
+    for df in (P.lookup_communes(phrases, village), S.structured_variants(phrases)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert python_in(plan) and all("Aggregate" in plan[i + 1] for i in python_in(plan))
+
+
+def test_what_is_asked_alike_is_answered_once(spark, village, monkeypatch):
+    kinds = [("Rue Haute", "3", "Aville", "10001"), ("RUE HAUTE", "3", "AVILLE", "10001"), ("Rue Basse", None, "Beville", None), ("Rue Basse", "5", "Beville", None), ("Rue Base", "1", "Beville", None)]
+    q = spark.createDataFrame([(i * 10 + j, *kind) for i in range(20) for j, kind in enumerate(kinds)], ASKED)
+    rows, own = [], A.answer
+
+    def answer(cands, *tables):
+        rows.append(cands.count())
+        return own(cands, *tables)
+
+    monkeypatch.setattr(A, "answer", answer)
+    got = {}
+    for r in S.geocode(q, village, 1).collect():
+        got.setdefault(r.query_id % 10, []).append((r.street, r.commune, r.housenumber, r.precision, r.postcode))
+    assert rows[0] < 20
+    want = [("Rue haute", "Aville", "3", "house", "10001")] * 2 + [("Rue basse", "Beville", n, kind, "10001") for n, kind in ((None, "street"), ("5", "interp"), ("1", "house"))]
+    assert {j: set(v) for j, v in got.items()} == {j: {w} for j, w in enumerate(want)} and all(len(v) == 20 for v in got.values())

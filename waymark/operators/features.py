@@ -7,19 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from waymark.operators import answers as A, candidates as C
 from waymark.operators.gazetteer import Gazetteer
 from waymark.operators.places import lookup_communes
-from waymark.operators.structured import _prepare, known_cities, known_suffixes, structured_variants
+from waymark.operators.structured import prepared, structured_variants
 
 
 def features(queries: DataFrame, gaz: Gazetteer, blocks: DataFrame) -> DataFrame:
     """query_id, street_norm and the ten features (0 or 1) of every exact candidate."""
-    from waymark.functions.words import RULES
+    from waymark.runtime import materialize
 
-    from waymark.runtime import materialize, spread
-
-    prepare = _prepare(known_cities(gaz), known_suffixes(gaz), RULES)
-    asked = spread(queries.select("query_id", "street", "number", "city", "postcode"), "query_id").select("query_id", prepare(*[F.col(c).cast("string") for c in ("street", "number", "city", "postcode")]).alias("p"))
-    asked = asked.select("query_id", F.col("p.sn").alias("phrase"), F.col("p.cn").alias("cn"), "p.numero", "p.rep", F.col("p.pc").alias("query_pc"))
-    asked = materialize(asked, "features")  # read several times below
+    asked = materialize(prepared(queries, gaz), "features")  # read several times below
     cities = asked.join(lookup_communes(asked.select(F.col("cn").alias("phrase")), gaz).withColumnRenamed("phrase", "cn"), "cn")
     streets = gaz.streets.select("street_norm", F.col("code").alias("s_code"))
     found = cities.join(structured_variants(asked), "phrase").join(streets, (F.col("variant") == F.col("street_norm")) & (F.col("code") == F.col("s_code")))
