@@ -179,3 +179,27 @@ def test_what_is_asked_alike_is_answered_once(spark, village, monkeypatch):
     assert rows[0] < 20
     want = [("Rue haute", "Aville", "3", "house", "10001")] * 2 + [("Rue basse", "Beville", n, kind, "10001") for n, kind in ((None, "street"), ("5", "interp"), ("1", "house"))]
     assert {j: set(v) for j, v in got.items()} == {j: {w} for j, w in enumerate(want)} and all(len(v) == 20 for v in got.values())
+
+
+def test_what_a_task_has_read_in_one_batch_is_not_read_in_the_next(monkeypatch):
+    import pyarrow as pa
+
+    read, own = [], S.words.normalize
+    monkeypatch.setattr(S.words, "normalize", lambda s: read.append(s) or own(s))
+
+    def prepared(n, asked):
+        kinds = pa.schema({"query_id": pa.int64(), **dict.fromkeys(like, pa.string())})
+        batch = lambda i: pa.RecordBatch.from_pydict({"query_id": [i], **{c: [v] for c, v in asked(i).items()}}, kinds)
+        read.clear()
+        out = S._prepare(frozenset(), frozenset({"bis"}), S.words.RULES)(map(batch, range(n)))
+        return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+    like = {"street": "Rue Haute", "number": "3 bis", "city": "Aville", "postcode": "10001"}
+    assert prepared(50, lambda i: like) == [(i, "rue haute", "aville", "aville", 3, "bis", 10001) for i in range(50)]
+    assert len(read) <= 4
+    # what is kept is bounded, and the results don't depend on it
+    monkeypatch.setattr(S, "KEPT_CHARS", 300)
+    other = lambda i: like | {"street": f"Rue {i % 7}", "number": None if i % 5 == 0 else f"{i % 5}"}
+    assert prepared(50, other) == [(i, f"rue {i % 7}", "aville", "aville", i % 5 or None, "", 10001) for i in range(50)]
+    kept = S._Kept(str.upper)
+    assert [kept[f"x{i}"] for i in range(1000)] == [f"X{i}" for i in range(1000)] and len(kept) < 5
